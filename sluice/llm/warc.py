@@ -98,7 +98,7 @@ def write_archives(classified: DataFrame, folder: str, level: int = 5, max_bytes
             for page_id, url, payload, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "refers_to")), strict=True):
                 if out is None:
                     name, size, count = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(name)
+                    out = fs.open_output_stream(name, compression=None)
                 member = gzip_member(record_bytes(page_id, url, payload, digest, refers_to, date), level)
                 out.write(member)
                 size, count = size + len(member), count + 1
