@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from sluice.llm import warc
+from sluice.llm import langid, simhash, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_simhash": simhash.op2_simhash,
+    "op9_langid": langid.op9_langid,
 }
 
 ORACLE = {
