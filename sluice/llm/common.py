@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +75,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def located(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of ``docs`` with (_f, _r): hash of the file and row number in it.
+
+    The pair names a row wherever and however often it is read, which an id
+    that may repeat doesn't. Tables that aren't read straight from Parquet
+    files are written to the shared folder first.
+    """
+    mark = [F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r")]
+    try:
+        return docs.select(*mark, *columns)
+    except AnalysisException:
+        return stored(docs.select(*columns), "located").select(*mark, *columns)
