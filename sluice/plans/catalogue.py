@@ -1,0 +1,5 @@
+"""Registered queries and their SQL."""
+
+QUERIES = {}
+
+ORACLE = {}
