@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import drop_scratch, stored, table
 from sluice.llm.langid import held_out
 
-DEPTH, BLOCK_ROWS, CHUNK = 4, 8192, 1 << 21
+DEPTH, BLOCK_ROWS, CHUNK = 4, 5000, 1 << 19
 END = b" "  # no word holds a blank
 HALF = np.log(0.5)
 
@@ -102,6 +102,7 @@ def count_blocks(rows: DataFrame, depth: int) -> DataFrame:
     """Distinct tokens and strings of each block with their counts in its training texts."""
 
     def emit(block, tokens, others, tally) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
         names = [*tokens, *(t for t in others if t not in tokens)]
         counts = [tokens.get(t, 0) for t in names]
         for at in range(0, len(names), 50_000):
@@ -271,6 +272,8 @@ def score(docs: DataFrame, depth: int = DEPTH, block_rows: int = BLOCK_ROWS) ->
                 flush()
                 texts, size = [], 0
         flush()
+        known.clear()
+        pa.default_memory_pool().release_unused()
         return pa.table({"doc_id": ids, "held_out": docs["held_out"], "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()), "logs": pa.array(out["logs"], pa.float64()), "score": np.concatenate(out["score"]) if out["score"] else np.zeros(0), "bytes": pa.array(out["bytes"], pa.int64())})
 
     made = rows.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(evaluate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double, bytes bigint")
