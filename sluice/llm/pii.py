@@ -26,6 +26,7 @@ they occur. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,14 +70,19 @@ def valid(kind: Column, match: Column) -> Column:
 
 def _items(k: int, name: str) -> Column:
     """The pattern's matches in text as structs, each with the piece before it and the surroundings."""
-    pieces, found = F.split("text", PATTERNS[name], -1), F.regexp_extract_all("text", F.lit(PATTERNS[name]), F.lit(0))
+    both = F.struct(F.split("text", PATTERNS[name], -1).alias("pieces"), F.regexp_extract_all("text", F.lit(PATTERNS[name]), F.lit(0)).alias("found"))
 
-    def item(m: Column, i: Column) -> Column:
+    def item(pieces: Column, m: Column, i: Column) -> Column:
         gap, behind = F.get(pieces, i), F.get(pieces, i + 1)
         before = F.substr(gap, F.greatest(F.lit(1), F.length(gap) - CONTEXT + 1))
         return F.struct(F.lit(name).alias("kind"), F.lit(k).alias("ord"), i.alias("i"), F.length(gap).alias("gap"), m.alias("match"), before.alias("before"), F.substr(behind, F.lit(1), F.lit(CONTEXT)).alias("behind"))
 
-    return F.transform(found, item)
+    return _once(both, lambda x: F.transform(x["found"], lambda m, i: item(x["pieces"], m, i)))
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not for every element that a lambda in it visits."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -100,8 +106,8 @@ def terms_of(found: DataFrame) -> DataFrame:
     """
     valid_rows = found.where("entity IS NOT NULL")
     def listed(text: Column) -> Column:
-        pieces, words = F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-        return F.transform(words, lambda w, i: F.struct(i.alias("i"), F.length(F.get(pieces, i)).alias("gap"), w.alias("word")))
+        both = F.struct(F.split(text, TERM, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("words"))
+        return _once(both, lambda x: F.transform(x["words"], lambda w, i: F.struct(i.alias("i"), F.length(F.get(x["pieces"], i)).alias("gap"), w.alias("word"))))
 
     sides = []
     for side, edge in (("before", r"^\p{L}+"), ("behind", r"\p{L}+$")):
