@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sluice.functions.binding import bind, text
 from sluice.schema import PATH_NAMES, SEVERITIES
 
 NUMBER = r"^[+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
@@ -18,25 +19,23 @@ def severity_name(n: Column) -> Column:
     return F.coalesce(F.get(F.array(*map(F.lit, SEVERITIES)), n), F.lit("unknown"))
 
 
-def parse_number(text: Column) -> Column:
-    """Number that a text spells, else null; out-of-range numbers are none."""
-    t = F.trim(text, F.lit(" \t\r\n\f\v"))
-    word = F.lower(t)
-    bare = F.regexp_replace(word, "^[+-]", "")
-    value = F.when(bare.isin("inf", "infinity"), F.when(word.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).when(bare == "nan", F.lit(float("nan"))).otherwise(t.try_cast("double"))
-    finite = bare.isin("inf", "infinity", "nan") | (F.abs(value) < float("inf"))
-    return F.when(t.rlike(NUMBER) & finite, value)
+def number_sql(t: str) -> str:
+    """SQL of the number that the trimmed text ``t`` spells, else null; out-of-range numbers are none."""
+    bare = f"regexp_replace(lower({t}), '^[+-]', '')"
+    infinite = f"if(startswith({t}, '-'), double('-Infinity'), double('Infinity'))"
+    finite = f"if(abs(try_cast({t} AS double)) < double('Infinity'), try_cast({t} AS double), NULL)"
+    return f"CASE WHEN NOT {t} RLIKE {text(NUMBER)} THEN NULL WHEN {bare} IN ('inf', 'infinity') THEN {infinite} WHEN {bare} = 'nan' THEN double('NaN') ELSE {finite} END"
 
 
-def number_text(v: Column) -> Column:
-    """A double without exponent: whole numbers without a point, others with the fewest digits."""
-    whole = (v == F.floor(v)) & (F.abs(v) < 1e38)
-    exact = F.when(F.abs(v) < 1e19, v.try_cast("decimal(38,18)").cast("string")).otherwise(v.try_cast("decimal(38,0)").cast("string"))
-    return F.when(F.isnan(v), "NaN").when(whole, v.try_cast("decimal(38,0)").cast("string")).when(F.abs(v) < 1e19, trim_zeros(exact)).otherwise(v.cast("string"))
+def parse_number(value: Column) -> Column:
+    """Number that a text spells, else null."""
+    return bind(F.trim(value, F.lit(" \t\r\n\f\v")), number_sql("v"))
 
 
-def trim_zeros(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+def digits_sql(d: str) -> str:
+    """SQL text of the double ``d`` without exponent: whole numbers without a point, others with the fewest digits."""
+    cut = rf"regexp_replace(regexp_replace(cast(try_cast({d} AS decimal(38,18)) AS string), '0+$', ''), r'\.$', '')"
+    return f"CASE WHEN isnan({d}) THEN 'NaN' WHEN {d} = floor({d}) AND abs({d}) < 1e38D THEN cast(try_cast({d} AS decimal(38,0)) AS string) WHEN abs({d}) < 1e19D THEN {cut} ELSE cast({d} AS string) END"
 
 
 def variant_kind(v: Column) -> Column:
@@ -44,27 +43,32 @@ def variant_kind(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def variant_text(v: Column, depth: int = TEXT_DEPTH) -> Column:
-    """Text of a VARIANT; a missing or null one is empty. Lists read ``[a b]`` and objects ``map[k:v]``."""
-    kind = variant_kind(v)
-    text = F.when(kind.isNull() | (kind == "VOID"), F.lit(""))
-    text = text.when(kind == "STRING", F.try_variant_get(v, "$", "string")).when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string"))
-    text = text.when(kind == "BIGINT", F.try_variant_get(v, "$", "string")).when(kind.startswith("DECIMAL"), trim_zeros(F.try_variant_get(v, "$", "string")))
-    text = text.when(kind.isin("DOUBLE", "FLOAT"), number_text(F.try_variant_get(v, "$", "double")))
+def variant_sql(v: str, depth: int) -> str:
+    """SQL text of the VARIANT ``v``."""
+    kind, string = f"schema_of_variant({v})", f"try_variant_get({v}, '$', 'string')"
+    plain = rf"if(contains({string}, '.'), regexp_replace(regexp_replace({string}, '0+$', ''), r'\.$', ''), {string})"
+    parts = [f"WHEN {kind} IN ('DOUBLE', 'FLOAT') THEN {digits_sql(f"try_variant_get({v}, '$', 'double')")}", f"WHEN startswith({kind}, 'DECIMAL') THEN {plain}"]
     if depth:
-        items = F.try_variant_get(v, "$", "array<variant>")
-        pairs = F.try_variant_get(v, "$", "map<string,variant>")
-        inner = lambda x: F.when(x.isNull() | F.is_variant_null(x), F.lit("<nil>")).otherwise(variant_text(x, depth - 1))
-        listed = F.concat(F.lit("["), F.array_join(F.transform(items, inner), " "), F.lit("]"))
-        keyed = F.concat(F.lit("map["), F.array_join(F.transform(F.array_sort(F.map_keys(pairs)), lambda k: F.concat(k, F.lit(":"), inner(F.element_at(pairs, k)))), " "), F.lit("]"))
-        text = text.when(kind.startswith("ARRAY"), listed).when(kind.startswith("OBJECT"), keyed)
-    return F.coalesce(text.otherwise(F.to_json(v)), F.lit(""))
+        w, e, m = f"w{depth}", f"e{depth}", f"try_variant_get({v}, '$', 'map<string,variant>')"
+        inner = lambda x: f"if({x} IS NULL OR is_variant_null({x}), '<nil>', {variant_sql(x, depth - 1)})"
+        parts.append(f"WHEN startswith({kind}, 'ARRAY') THEN concat('[', array_join(transform(try_variant_get({v}, '$', 'array<variant>'), {w} -> {inner(w)}), ' '), ']')")
+        entries = f"transform(sort_array(map_keys({m})), k{depth} -> named_struct('k', k{depth}, 'x', element_at({m}, k{depth})))"
+        parts.append(f"WHEN startswith({kind}, 'OBJECT') THEN concat('map[', array_join(transform({entries}, {e} -> concat({e}.k, ':', {inner(f'{e}.x')})), ' '), ']')")
+    else:
+        parts.append(f"WHEN startswith({kind}, 'ARRAY') OR startswith({kind}, 'OBJECT') THEN to_json({v})")
+    return f"coalesce(CASE {' '.join(parts)} ELSE {string} END, '')"
+
+
+def variant_text(value: Column, depth: int = TEXT_DEPTH) -> Column:
+    """Text of a VARIANT; a missing or null one is empty. Lists read ``[a b]`` and objects ``map[k:v]``."""
+    return bind(value, variant_sql("v", depth))
 
 
-def variant_number(v: Column) -> Column:
+def variant_number(value: Column) -> Column:
     """Number of a VARIANT: numbers and texts that spell one; null for all else."""
-    kind = variant_kind(v)
-    return F.when(kind == "STRING", parse_number(F.try_variant_get(v, "$", "string"))).when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+    kind = "schema_of_variant(v)"
+    spelled = number_sql("trim(try_variant_get(v, '$', 'string'))")
+    return bind(value, f"CASE WHEN {kind} = 'STRING' THEN {spelled} WHEN {kind} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith({kind}, 'DECIMAL') THEN try_variant_get(v, '$', 'double') END")
 
 
 def text_variant(text: Column) -> Column:
@@ -158,8 +162,7 @@ def time_text(t: Column) -> Column:
 
 def equal_values(ref: Ref, want: object) -> Column:
     """Equal as numbers (to 1e-9) if both are numbers or spell them, else as texts."""
-    text = want_text(want)
-    as_text = ref.text() == text
+    as_text = ref.text() == want_text(want)
     number = want_number(want)
     if number is None:
         return as_text
@@ -196,15 +199,13 @@ def want_text(want: object) -> str:
     return str(want)
 
 
-def set_variant(v: Column, parts: list[str], value: Column) -> Column:
-    """``v`` with ``value`` at the path; what is no object on the way becomes one."""
+def set_variant(value: Column, parts: list[str], new: Column) -> Column:
+    """``value`` with ``new`` at the path; what is no object on the way becomes one."""
     if not parts:
-        return value
-    have = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    have = F.when(variant_kind(v).startswith("OBJECT"), have).otherwise(F.create_map().cast("map<string,variant>"))
-    inner = set_variant(F.try_element_at(have, F.lit(parts[0])), parts[1:], value)
-    rest = F.map_filter(have, lambda k, _: k != parts[0])
-    return F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(parts[0]), inner)))
+        return new
+    have = F.coalesce(bind(value, "if(startswith(schema_of_variant(v), 'OBJECT'), try_variant_get(v, '$', 'map<string,variant>'), NULL)"), F.create_map().cast("map<string,variant>"))
+    inner = set_variant(F.try_element_at(have, F.lit(parts[0])), parts[1:], new)
+    return F.to_variant_object(F.map_concat(F.map_filter(have, lambda k, _: k != parts[0]), F.create_map(F.lit(parts[0]), inner)))
 
 
 def set_attr(attrs: Column, parts: list[str], value: Column) -> Column:

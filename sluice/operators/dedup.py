@@ -34,7 +34,7 @@ def accepted_times(times: Column, ttl: Column) -> Column:
     """Of sorted arrival times those that are accepted: each at least ``ttl`` after the last accepted one."""
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
     step = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= ttl), F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc)
-    return F.aggregate(F.array_sort(times), start, step, lambda acc: acc["kept"])
+    return F.aggregate(F.sort_array(times), start, step, lambda acc: acc["kept"])
 
 
 def within_ttl(events: DataFrame, arrival: str, ttl_us: int) -> DataFrame:
@@ -46,11 +46,11 @@ def within_ttl(events: DataFrame, arrival: str, ttl_us: int) -> DataFrame:
     split. Unbounded feeds use the keyed state of ``stream_exact``.
     """
     times = events.groupBy("id").agg(F.collect_set(arrival).alias("_t"))
-    kept = times.select("id", F.explode(accepted_times(F.col("_t"), F.lit(ttl_us))).alias("_kept"))
+    kept = times.select(F.col("id").alias("_id"), F.explode(accepted_times(F.col("_t"), F.lit(ttl_us))).alias("_kept"))
     number = F.row_number().over(Window.partitionBy("id", arrival).orderBy(F.lit(1)))
-    marked = events.join(kept, (events["id"] == kept["id"]) & (events[arrival] == kept["_kept"]), "left").drop(kept["id"])
+    marked = events.join(kept, (F.col("id") == F.col("_id")) & (F.col(arrival) == F.col("_kept")), "left")
     again = (F.col("_kept").isNull() | (number > 1)) & (F.coalesce(F.col("id"), F.lit("")) != "")
-    return marked.withColumn("duplicate", again).drop("_kept")
+    return marked.withColumn("duplicate", again).drop("_id", "_kept")
 
 
 def stream_within_watermark(events: DataFrame, event_time: str, delay: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.binding import bind
 from sluice.functions.times import from_epoch, parse_time_text
 from sluice.functions.values import variant_kind, variant_text
 from sluice.schema import EVENT_COLUMNS, FIELD_ALIASES, SEVERITY_ALIASES, TEXT_COLUMNS
@@ -18,9 +19,8 @@ from sluice.schema import EVENT_COLUMNS, FIELD_ALIASES, SEVERITY_ALIASES, TEXT_C
 
 def parse_severity(text: Column) -> Column:
     """Number of a severity name or of 0..8; empty is info; null if unknown."""
-    t = F.lower(F.trim(text))
-    names = F.create_map(*(F.lit(x) for pair in SEVERITY_ALIASES.items() for x in pair))
-    return F.when(t == "", F.lit(2)).otherwise(F.coalesce(F.try_element_at(names, t), F.when(t.rlike("^[0-8]$"), t.cast("int"))))
+    names = " ".join(f"WHEN '{k}' THEN {n}" for k, n in SEVERITY_ALIASES.items())
+    return bind(F.lower(F.trim(text)), f"CASE v WHEN '' THEN 2 {names} ELSE if(v RLIKE '^[0-8]$', try_cast(v AS int), NULL) END")
 
 
 def parse_time(v: Column) -> Column:
@@ -34,7 +34,8 @@ def events_of(df: DataFrame, now: Column, record: str = "record", source: str =
     live = df.withColumn(record, F.map_filter(F.coalesce(record, F.create_map().cast("map<string,variant>")), lambda _, v: v.isNotNull() & ~F.is_variant_null(v)))
     chosen = {k: F.coalesce(*(F.when(F.map_contains_key(record, n), F.lit(n)) for n in names)) for k, names in FIELD_ALIASES.items()}
     live = live.withColumns({f"_n_{k}": c for k, c in chosen.items()})
-    value = lambda k: F.try_element_at(F.col(record), F.col(f"_n_{k}"))
+    live = live.withColumns({f"_v_{k}": F.try_element_at(F.col(record), F.col(f"_n_{k}")) for k in FIELD_ALIASES})
+    value = lambda k: F.col(f"_v_{k}")
     text = lambda k: F.trim(variant_text(value(k)))
     used = F.array(*(F.col(f"_n_{k}") for k in FIELD_ALIASES))
     attrs = F.map_filter(record, lambda k, _: ~F.coalesce(F.array_contains(used, k), F.lit(False)))

@@ -57,24 +57,27 @@ def _lines(df: DataFrame) -> DataFrame:
 
 def _object(text: Column) -> Column:
     """Record of a JSON object; null if it is none. A JSON null is an empty record; of repeated keys the last counts."""
-    return F.when(F.trim(text) == "null", F.create_map().cast(RECORD)).otherwise(F.from_json(text, RECORD, {"mode": "PERMISSIVE"}))
+    strict = F.try_variant_get(F.try_parse_json(text), "$", RECORD)
+    repeated = F.when(text.startswith("{") & text.endswith("}") & ~text.rlike(r"\}\s*[^\s,\]}]"), F.from_json(text, RECORD, {"mode": "PERMISSIVE"}))
+    return F.when(text == "null", F.create_map().cast(RECORD)).otherwise(F.coalesce(strict, repeated))
 
 
 def json(df: DataFrame, now: Column, options: Options | None = None) -> Parsed:
     """An array of objects (all or nothing), one object, or one object a line. A payload that is a single object may span lines."""
     rows = _trimmed(df).where("_text <> ''")
     rest = [c for c in df.columns if c != "payload"]
+    none = F.lit(None).cast(RECORD)
+    entry = lambda at, record: F.struct(at.cast("bigint").alias("at"), record.alias("record"))
     is_list, many = F.col("_text").startswith("["), F.contains(F.col("_text"), F.lit("\n"))
-    whole = F.when(~is_list & many & F.col("_text").startswith("{"), _object(F.col("_text")))
-    rows = rows.withColumn("_whole", whole)
-    items = F.from_json("_text", f"array<{RECORD}>", {"mode": "PERMISSIVE"})
-    items = F.transform(items, lambda m: F.coalesce(m, F.create_map().cast(RECORD)))
-    lines = F.transform(F.split("_text", "\n", -1), lambda s, i: F.struct((i + 1).cast("bigint").alias("at"), F.trim(s, F.lit(" \t\r\f\v")).alias("s")))
-    lines = F.transform(F.filter(lines, lambda x: x["s"] != ""), lambda x: F.struct(x["at"].alias("at"), _object(x["s"]).alias("record")))
-    listed = F.transform(items, lambda m: F.struct(F.lit(0).cast("bigint").alias("at"), m.alias("record")))
-    bad = F.array(F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(RECORD).alias("record")))
-    single = F.array(F.struct(F.lit(1).cast("bigint").alias("at"), F.coalesce(F.col("_whole"), _object(F.col("_text"))).alias("record")))
-    found = F.when(is_list, F.coalesce(listed, bad)).when(~many | F.col("_whole").isNotNull(), single).otherwise(lines)
+    # one strict reading of the payload: a list, or one object that may span lines
+    rows = rows.withColumn("_whole", F.when(is_list | (many & F.col("_text").startswith("{")), F.try_parse_json("_text")))
+    records = lambda items: F.transform(items, lambda x: F.when(F.is_variant_null(x), F.create_map().cast(RECORD)).otherwise(F.try_variant_get(x, "$", RECORD)))
+    rows = rows.withColumn("_items", records(F.try_variant_get("_whole", "$", "array<variant>")))
+    bad = F.col("_items").isNull() | F.exists("_items", lambda r: r.isNull())
+    listed = F.when(bad, F.array(entry(F.lit(0), none))).otherwise(F.transform("_items", lambda r: entry(F.lit(0), r)))
+    lines = F.transform(F.split("_text", "\n", -1), lambda s, i: F.struct((i + 1).alias("at"), F.trim(s, F.lit(" \t\r\f\v")).alias("s")))
+    lines = F.transform(F.filter(lines, lambda x: x["s"] != ""), lambda x: entry(x["at"], _object(x["s"])))
+    found = F.when(is_list, listed).when(F.col("_whole").isNotNull(), F.array(entry(F.lit(1), F.try_variant_get("_whole", "$", RECORD)))).otherwise(lines)
     out = rows.select("*", F.explode(found).alias("_x")).select("*", F.col("_x.at").alias("_at"), F.col("_x.record").alias("record"))
     good = out.where(F.col("record").isNotNull()).select(*rest, "record")
     return Parsed(events_of(good, now), _errors(out.where(F.col("record").isNull()), F.col("_at"), F.lit("not a JSON object")))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions import regexes
+from sluice.functions.binding import bind, text
 from sluice.functions.hashing import token
-from sluice.functions.values import Ref, set_attr, variant_kind
+from sluice.functions.values import Ref, set_attr
 from sluice.schema import PATH_NAMES
 
 DEPTH = 3
@@ -24,9 +25,6 @@ class Pattern:
     regex: str
     replace: str = "[redacted]"
 
-    def applied(self, text: Column) -> Column:
-        return F.regexp_replace(text, F.lit(regexes.to_java(self.regex)), F.lit(regexes.replacement(self.replace, self.regex)))
-
 
 @dataclass
 class RuleSet:
@@ -77,35 +75,44 @@ DEFAULT = RuleSet(
 )
 
 
-def redact_text(text: Column, patterns: list[Pattern]) -> tuple[Column, Column]:
+def redact_text(value: Column, patterns: list[Pattern]) -> tuple[Column, Column]:
     """The text after all patterns in order, and whether any matched what it saw."""
-    hit = F.lit(False)
+    shown, hit = _text_sql("v", patterns)
+    return bind(value, shown), F.coalesce(bind(value, hit), F.lit(False))
+
+
+def _text_sql(t: str, patterns: list[Pattern]) -> tuple[str, str]:
+    """SQL of ``redact_text`` for the SQL text ``t``."""
+    hits = []
     for p in patterns:
-        hit = hit | F.coalesce(text.rlike(regexes.to_java(p.regex)), F.lit(False))
-        text = p.applied(text)
-    return text, hit
+        java = text(regexes.to_java(p.regex))
+        hits.append(f"coalesce({t} RLIKE {java}, false)")
+        t = f"regexp_replace({t}, {java}, {text(regexes.replacement(p.replace, p.regex))})"
+    return t, "(" + " OR ".join(hits or ["false"]) + ")"
 
 
-def redact_variant(v: Column, patterns: list[Pattern], depth: int = DEPTH) -> Column:
-    """(value, changes) of a VARIANT: every text leaf redacted.
+def variant_sql(v: str, patterns: list[Pattern], depth: int) -> str:
+    """SQL struct (v: the VARIANT with every text leaf redacted, n: leaves changed).
 
     Below ``depth`` levels of lists and objects the patterns run over the JSON
     text of what is left, so nothing escapes them.
     """
-    pair = lambda value, n: F.struct(value.alias("v"), n.cast("int").alias("n"))
-    kind = variant_kind(v)
-    text, hit = redact_text(F.try_variant_get(v, "$", "string"), patterns)
-    as_text = pair(text.cast("variant"), hit.cast("int"))
+    pair = lambda value, n: f"named_struct('v', {value}, 'n', cast({n} AS int))"
+    kind = f"schema_of_variant({v})"
+    own, hit = _text_sql(f"try_variant_get({v}, '$', 'string')", patterns)
+    parts = [f"WHEN {kind} = 'STRING' THEN {pair(f'cast({own} AS variant)', hit)}"]
     if depth == 0:
-        flat, hit = redact_text(F.to_json(v), patterns)
-        rest = pair(F.coalesce(F.try_parse_json(flat), flat.cast("variant")), hit.cast("int"))
-        return F.when(kind == "STRING", as_text).when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), rest).otherwise(pair(v, F.lit(0)))
-    total = lambda pairs: F.aggregate(pairs, F.lit(0), lambda n, p: n + p["n"])
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: redact_variant(x, patterns, depth - 1))
-    as_list = pair(F.to_variant_object(F.transform(items, lambda p: p["v"])), total(items))
-    entries = F.transform_values(F.try_variant_get(v, "$", "map<string,variant>"), lambda _, x: redact_variant(x, patterns, depth - 1))
-    as_object = pair(F.to_variant_object(F.transform_values(entries, lambda _, p: p["v"])), total(F.map_values(entries)))
-    return F.when(kind == "STRING", as_text).when(kind.startswith("ARRAY"), as_list).when(kind.startswith("OBJECT"), as_object).otherwise(pair(v, F.lit(0)))
+        flat, hit = _text_sql(f"to_json({v})", patterns)
+        parts.append(f"WHEN startswith({kind}, 'ARRAY') OR startswith({kind}, 'OBJECT') THEN {pair(f'coalesce(try_parse_json({flat}), cast({flat} AS variant))', hit)}")
+    else:
+        inner = lambda name: variant_sql(name, patterns, depth - 1)
+        items = f"transform(try_variant_get({v}, '$', 'array<variant>'), a{depth} -> {inner(f'a{depth}')})"
+        entries = f"transform_values(try_variant_get({v}, '$', 'map<string,variant>'), (k{depth}, b{depth}) -> {inner(f'b{depth}')})"
+        listed = pair("to_variant_object(transform(p, q -> q.v))", "aggregate(p, 0, (n, q) -> n + q.n)")
+        keyed = pair("to_variant_object(transform_values(p, (k, q) -> q.v))", "aggregate(map_values(p), 0, (n, q) -> n + q.n)")
+        parts.append(f"WHEN startswith({kind}, 'ARRAY') THEN get(transform(array({items}), p -> {listed}), 0)")
+        parts.append(f"WHEN startswith({kind}, 'OBJECT') THEN get(transform(array({entries}), p -> {keyed}), 0)")
+    return f"CASE {' '.join(parts)} ELSE {pair(v, 0)} END"
 
 
 def set_path(path: str, value: Column, variant: Column) -> dict[str, Column]:
@@ -131,20 +138,20 @@ def apply(df: DataFrame, rules: RuleSet, when: Column | None = None, counter: st
     df = df.withColumns({"_go": when, "_n": F.lit(0)})
     go = F.col("_go")
     if rules.patterns:
-        done = F.when(go, F.transform_values("attrs", lambda _, v: redact_variant(v, rules.patterns)))
+        done = F.when(go, F.expr(f"transform_values(attrs, (key, v) -> {variant_sql('v', rules.patterns, DEPTH)})"))
         df = df.withColumn("_attrs", done)
         counted = F.aggregate(F.map_values("_attrs"), F.lit(0), lambda n, p: n + p["n"])
         new, hits = {"attrs": F.when(go, F.transform_values("_attrs", lambda _, p: p["v"])).otherwise(F.col("attrs"))}, [F.coalesce(counted, F.lit(0))]
         for c in PATTERN_COLUMNS:
-            text, hit = redact_text(F.col(c), rules.patterns)
-            new[c] = F.when(go, text).otherwise(F.col(c))
+            shown, hit = redact_text(F.col(c), rules.patterns)
+            new[c] = F.when(go, shown).otherwise(F.col(c))
             hits.append(hit.cast("int"))
         df = df.withColumns(new | {"_n": F.when(go, reduce(lambda a, b: a + b, hits)).otherwise(0)}).drop("_attrs")
     for path, new_text in rules.fields:
         df = _write(df, path, F.lit(new_text), Ref(path).found())
     for path in rules.hash_fields:
-        text = Ref(path).text()
-        df = _write(df, path, token(text, rules.salt), Ref(path).found() & (text != ""))
+        raw = Ref(path).text()
+        df = _write(df, path, token(raw, rules.salt), Ref(path).found() & (raw != ""))
     if counter:
         df = df.withColumn(counter, F.coalesce(F.col(counter), F.lit(0)) + F.col("_n") if counter in df.columns else F.col("_n"))
     return df.drop("_go", "_n")

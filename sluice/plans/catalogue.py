@@ -288,7 +288,7 @@ def parse_raw(spark, d):
     return parsers.parse(_payloads(spark, d, F.concat(F.lit("  "), attr("message"), F.lit("\r\n"))), "raw", now()).events.select(attr("message").alias("message"))
 
 
-@query("parse_syslog5424", f"{EV} SELECT host, category, 8 - (event_id % 192) % 8 AS severity, CAST((event_id % 192) // 8 AS VARCHAR) AS facility, CAST(user_id AS VARCHAR) AS procid, 'ID1' AS msgid, '[a@1 k=\"[' || k || ']\"][b c=\"2\"]' AS sd, message, CAST(epoch_us(ts) AS BIGINT) AS us FROM ev")
+@query("parse_syslog5424", f"{EV} SELECT host, category, CAST(8 - (event_id % 192) % 8 AS INTEGER) AS severity, CAST((event_id % 192) // 8 AS VARCHAR) AS facility, CAST(user_id AS VARCHAR) AS procid, 'ID1' AS msgid, '[a@1 k=\"[' || k || ']\"][b c=\"2\"]' AS sd, message, CAST(epoch_us(ts) AS BIGINT) AS us FROM ev")
 def parse_syslog5424(spark, d):
     line = F.concat(F.lit("<"), F.col("n") % 192, F.lit(">1 "), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit(" "), "host", F.lit(" "), "category", F.lit(" "), F.substring("actor", 6, 20), F.lit(' ID1 [a@1 k="['), attr("k"), F.lit(']"][b c="2"] '), attr("message"))
     out = parsers.parse(_payloads(spark, d, line), "syslog", now()).events
