@@ -35,7 +35,7 @@ def _built(year: str, month: str, day: str, clock: str, zone: str) -> str:
     """SQL timestamp of the parts of a date; zones that are no offset count as UTC."""
     names = ", ".join(f"'{m}'" for m in MONTHS)
     number = f"lpad(cast(array_position(array({names}), lower({month})) AS string), 2, '0')"
-    offset = f"if({zone} RLIKE r'^[+-]\d{{4}}$', regexp_replace({zone}, r'(..)$', ':$1'), '+00:00')"
+    offset = rf"if({zone} RLIKE r'^[+-]\d{{4}}$', regexp_replace({zone}, r'(..)$', ':$1'), '+00:00')"
     return f"try_to_timestamp(concat({year}, '-', {number}, '-', lpad({day}, 2, '0'), 'T', {clock}, {offset}))"
 
 

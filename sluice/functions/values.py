@@ -35,7 +35,7 @@ def parse_number(value: Column) -> Column:
 def digits_sql(d: str) -> str:
     """SQL text of the double ``d`` without exponent: whole numbers without a point, others with the fewest digits."""
     cut = rf"regexp_replace(regexp_replace(cast(try_cast({d} AS decimal(38,18)) AS string), '0+$', ''), r'\.$', '')"
-    return f"CASE WHEN isnan({d}) THEN 'NaN' WHEN {d} = floor({d}) AND abs({d}) < 1e38D THEN cast(try_cast({d} AS decimal(38,0)) AS string) WHEN abs({d}) < 1e19D THEN {cut} ELSE cast({d} AS string) END"
+    return f"CASE WHEN isnan({d}) THEN 'NaN' WHEN {d} = rint({d}) AND abs({d}) < 1e38D THEN cast(try_cast({d} AS decimal(38,0)) AS string) WHEN abs({d}) < 1e19D THEN {cut} ELSE cast({d} AS string) END"
 
 
 def variant_kind(v: Column) -> Column:

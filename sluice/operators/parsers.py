@@ -57,7 +57,7 @@ def _lines(df: DataFrame) -> DataFrame:
 
 def _object(text: Column) -> Column:
     """Record of a JSON object; null if it is none. A JSON null is an empty record; of repeated keys the last counts."""
-    strict = F.try_variant_get(F.try_parse_json(text), "$", RECORD)
+    strict = F.when(text.endswith("}"), F.try_variant_get(F.try_parse_json(text), "$", RECORD))
     repeated = F.when(text.startswith("{") & text.endswith("}") & ~text.rlike(r"\}\s*[^\s,\]}]"), F.from_json(text, RECORD, {"mode": "PERMISSIVE"}))
     return F.when(text == "null", F.create_map().cast(RECORD)).otherwise(F.coalesce(strict, repeated))
 
@@ -70,7 +70,8 @@ def json(df: DataFrame, now: Column, options: Options | None = None) -> Parsed:
     entry = lambda at, record: F.struct(at.cast("bigint").alias("at"), record.alias("record"))
     is_list, many = F.col("_text").startswith("["), F.contains(F.col("_text"), F.lit("\n"))
     # one strict reading of the payload: a list, or one object that may span lines
-    rows = rows.withColumn("_whole", F.when(is_list | (many & F.col("_text").startswith("{")), F.try_parse_json("_text")))
+    opened = many & F.col("_text").startswith("{") & F.col("_text").endswith("}") & F.try_parse_json(F.substring_index("_text", "\n", 1)).isNull()
+    rows = rows.withColumn("_whole", F.when((is_list & F.col("_text").endswith("]")) | opened, F.try_parse_json("_text")))
     records = lambda items: F.transform(items, lambda x: F.when(F.is_variant_null(x), F.create_map().cast(RECORD)).otherwise(F.try_variant_get(x, "$", RECORD)))
     rows = rows.withColumn("_items", records(F.try_variant_get("_whole", "$", "array<variant>")))
     bad = F.col("_items").isNull() | F.exists("_items", lambda r: r.isNull())

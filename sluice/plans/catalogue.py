@@ -19,7 +19,7 @@ from sluice.sinks.writers import partitioned, recent
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-NOW = F.lit("2024-06-01 00:00:00")
+NOW = "2024-06-01 00:00:00"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def now() -> Column:
-    return NOW.cast("timestamp")
+    return F.lit(NOW).cast("timestamp")
 
 
 def attr(path: str, kind: str = "string") -> Column:
