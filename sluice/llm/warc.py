@@ -13,6 +13,7 @@ last one. So each record is returned by exactly one range, wherever ranges are
 cut. Inside a member that a false start lay in (an archive stored within a
 payload), the chain of false members runs into bytes that are no member: the
 whole chain is then discarded and the search goes on behind its first byte.
+Ranges have to be larger than archives inside payloads for that.
 
 Nulls: a null payload is written as an empty one; a null id becomes the record
 id ``urn:page:null`` and is read back as null; a null URL gives no target
