@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sluice.llm.common import table
+from sluice.llm.common import fresh, table
 from sluice.llm.convnet import ByteConvNet, softmax, windows_of
 
 LENGTH, PER_LANG, WINDOWS, MAX_LANGS = 128, 1200, 4, 1000
@@ -90,9 +91,10 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, length: int = LENGTH, s
     return Model(labels, ByteConvNet(len(labels)).fit(np.array(x), np.array(y)), length)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score added."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, lang_score double"
+def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with the columns ``pred`` and ``score`` added; columns of these names are replaced."""
+    docs = docs.drop(pred, score)
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +103,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for at in range(0, whole.num_rows, 400):
                 b = whole.slice(at, 400)
                 got = m.predict(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, pred, score])
 
     return docs.mapInArrow(run, schema)
 
@@ -109,7 +111,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """Rows whose language is recognised with ``min_score`` or more; columns of ``docs`` only."""
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    return identify(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score)).select(docs.columns)
+    pred, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
+    return identify(docs, model, pred, score).where((F.col(pred) != "und") & (F.col(score) >= min_score)).select(docs.columns)
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
