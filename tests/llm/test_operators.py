@@ -127,6 +127,34 @@ def test_decontamination(spark, odd_dir, tmp_path):
     assert left == {r["doc_id"] for r in docs.collect()} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("n", [400, 2100])
+def test_decontamination_of_many_items(spark, tmp_path, n):
+    """Items cut from documents of their own, planted word for word and with 28 % of the words replaced."""
+    import random
+
+    rng = random.Random(n)
+    words = [w.decode() for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() for w in decontam.words_of(t)]
+
+    def cut(k):
+        at = rng.randrange(len(words) - k)
+        return words[at : at + k]
+
+    items = [cut(rng.randrange(16, 60)) for _ in range(n)]
+    rows = []
+    for k, item in enumerate(items):
+        edited = [rng.choice(words) if rng.random() < 0.28 else w for w in item]
+        rows += [(2 * k + e, " ".join(cut(rng.randrange(90)) + held + cut(rng.randrange(90))), "en", "s", 1) for e, held in enumerate((item, edited))]
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(spark, rows, tmp_path), bench).collect()}
+    for edited, least in ((0, 0.995), (1, 0.97)):
+        want = set()
+        for i, text, *_ in rows[edited::2]:
+            item, text = decontam.words_of(" ".join(items[i // 2])), decontam.words_of(text)
+            if decontam.lcs(item, text) >= decontam.MIN_LCS * len(item):
+                want.add((i, i // 2))
+        assert len(want) > n / 4 and len(want & got) >= least * len(want), (edited, len(want), len(want & got))
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
