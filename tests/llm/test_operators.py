@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import os
 from collections import Counter
 
@@ -101,6 +102,23 @@ def test_line_dedup(spark, tmp_path):
     assert len(kept) == 2 + len(near)
 
 
+def linked(spark, texts, buckets):
+    """Components of the texts in the given buckets, and what all pairs of each bucket make."""
+    lines = spark.createDataFrame(list(enumerate(texts)), "h bigint, line string").withColumn("s", F.size(linededup.shingled(F.col("line"))))
+    members = spark.createDataFrame([(k, h) for k, b in enumerate(buckets) for h in b], "key bigint, h bigint")
+    comp = {r["node"]: r["root"] for r in common.connected_components(linededup.line_links(common.stored(members), common.stored(lines), 0.8)).collect()}
+    met = {frozenset(p) for b in buckets for p in itertools.combinations(b, 2)}
+    want = brute_components(range(len(texts)), lambda a, b: frozenset((a, b)) in met and jaccard(texts[a], texts[b]) >= 0.8)
+    return {h: comp.get(h, h) for h in want}, want
+
+
+def test_line_links_of_pairs_that_share_one_key(spark):
+    text = lambda k, more: " ".join(hashlib.md5(f"{k}-{j}".encode()).hexdigest()[:9] for j in range(12)) + more
+    texts = [text(k, "") for k in range(80)] + [text(k, " changed") for k in range(1, 79)]
+    got, want = linked(spark, texts, [range(len(texts))])
+    assert got == want and len(set(want.values())) == 80
+
+
 def test_mixing_is_fair(spark, tmp_path):
     weights, blocks = [5, 3, 2], [500, 300, 200]
     slots = mixing.schedule(weights, blocks)
