@@ -119,6 +119,20 @@ def test_line_links_of_pairs_that_share_one_key(spark):
     assert got == want and len(set(want.values())) == 80
 
 
+def test_line_links_of_drifting_copies(spark):
+    texts = []
+    for c in range(12):
+        words = [hashlib.md5(f"{c}-{j}".encode()).hexdigest()[:7] for j in range(24)]
+        for k in range(10):
+            words[k * 2] = f"step{k}x{c}"
+            texts.append(" ".join(words))
+    import random
+
+    random.Random(3).shuffle(texts)
+    got, want = linked(spark, texts, [range(len(texts)), range(0, len(texts), 2), range(70)])
+    assert got == want and len(set(want.values())) == 12
+
+
 def test_mixing_is_fair(spark, tmp_path):
     weights, blocks = [5, 3, 2], [500, 300, 200]
     slots = mixing.schedule(weights, blocks)
