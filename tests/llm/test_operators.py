@@ -133,6 +133,16 @@ def test_line_links_of_drifting_copies(spark):
     assert got == want and len(set(want.values())) == 12
 
 
+def test_line_keys_without_blanks(spark):
+    """Copies with one character changed near the start share a key, other lines that begin alike don't."""
+    urls = ["https://example.org/" + "".join(hashlib.sha256(f"{k}-{j}".encode()).hexdigest() for j in range(3)) for k in range(40)]
+    texts = urls + [f"{u[:3]}#{u[4:]}" for u in urls]
+    keys = [set(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(linededup.band_keys(F.col("t"))).collect()]
+    assert all(jaccard(a, b) >= 0.9 for a, b in zip(urls, texts[40:], strict=True))
+    assert sum(bool(keys[k] & keys[40 + k]) for k in range(40)) >= 38
+    assert sum(bool(keys[a] & keys[b]) for a, b in itertools.combinations(range(40), 2)) <= 8
+
+
 def test_mixing_is_fair(spark, tmp_path):
     weights, blocks = [5, 3, 2], [500, 300, 200]
     slots = mixing.schedule(weights, blocks)
