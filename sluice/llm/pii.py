@@ -69,15 +69,26 @@ def valid(kind: Column, match: Column) -> Column:
 
 
 def _items(k: int, name: str) -> Column:
-    """The pattern's matches in text as structs, each with the piece before it and the surroundings."""
+    """The pattern's matches in text as structs, each with the length of the piece before it and the surroundings.
+
+    A match has two characters or more, so ``CONTEXT`` characters reach over
+    half as many matches at most; pieces and matches are cut to ``CONTEXT`` first.
+    """
     both = F.struct(F.split("text", PATTERNS[name], -1).alias("pieces"), F.regexp_extract_all("text", F.lit(PATTERNS[name]), F.lit(0)).alias("found"))
+    reach, size = F.lit(CONTEXT // 2), F.lit(CONTEXT)
+
+    def parts(x: Column) -> Column:
+        cut = lambda c, side: F.transform(x[c], lambda t: side(t, size))
+        return F.struct(x["found"].alias("found"), F.transform(x["pieces"], F.length).alias("gaps"), cut("pieces", F.right).alias("tails"), cut("found", F.right).alias("match_tails"), cut("pieces", F.left).alias("heads"), cut("found", F.left).alias("match_heads"))
 
-    def item(pieces: Column, m: Column, i: Column) -> Column:
-        gap, behind = F.get(pieces, i), F.get(pieces, i + 1)
-        before = F.substr(gap, F.greatest(F.lit(1), F.length(gap) - CONTEXT + 1))
-        return F.struct(F.lit(name).alias("kind"), F.lit(k).alias("ord"), i.alias("i"), F.length(gap).alias("gap"), m.alias("match"), before.alias("before"), F.substr(behind, F.lit(1), F.lit(CONTEXT)).alias("behind"))
+    def item(y: Column, m: Column, i: Column) -> Column:
+        joined = lambda a, b: F.array_join(F.zip_with(a, b, lambda u, v: F.concat(u, v)), "")
+        n = F.least(i, reach)
+        before = F.concat(joined(F.slice(y["tails"], i - n + 1, n), F.slice(y["match_tails"], i - n + 1, n)), F.get(y["tails"], i))
+        behind = F.concat(F.get(y["heads"], i + 1), joined(F.slice(y["match_heads"], i + 2, reach), F.slice(y["heads"], i + 3, reach)))
+        return F.struct(F.lit(name).alias("kind"), F.lit(k).alias("ord"), i.alias("i"), F.get(y["gaps"], i).alias("gap"), m.alias("match"), F.right(before, size).alias("before"), F.left(behind, size).alias("behind"))
 
-    return _once(both, lambda x: F.transform(x["found"], lambda m, i: item(x["pieces"], m, i)))
+    return _once(both, lambda x: _once(parts(x), lambda y: F.transform(y["found"], lambda m, i: item(y, m, i))))
 
 
 def _once(value: Column, body: Callable[[Column], Column]) -> Column:
