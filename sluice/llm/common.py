@@ -32,11 +32,6 @@ def stored(df: DataFrame, label: str = "t", codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_of(df: DataFrame) -> int:
-    """Number of tasks of the scan that ``df`` starts with; plans, doesn't run."""
-    return max(1, df._jdf.rdd().getNumPartitions())
-
-
 def drop_scratch(df: DataFrame) -> None:
     """Delete the files of a table that ``stored`` wrote, once nothing reads it again."""
     spark = df.sparkSession
@@ -85,15 +80,25 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def located(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of ``docs`` with (_f, _r): hash of the file and row number in it.
+def quoted(columns) -> list:
+    """Columns by names that may hold dots or blanks."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+
+
+def located(docs: DataFrame, *columns: str, marks: tuple[str, str] = ("_f", "_r")) -> DataFrame:
+    """``columns`` of ``docs`` with the marks (file, row): hash of the file and row number in it.
 
     The pair names a row wherever and however often it is read, which an id
     that may repeat doesn't. Tables that aren't read straight from Parquet
-    files are written to the shared folder first.
+    files are written to the shared folder first, and so is one with a column
+    that hides the file's metadata.
     """
-    mark = [F.xxhash64("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r")]
-    try:
-        return docs.select(*mark, *columns)
-    except AnalysisException:
-        return stored(docs.select(*columns), "located").select(*mark, *columns)
+    mark = [F.xxhash64("_metadata.file_path").alias(marks[0]), F.col("_metadata.row_index").alias(marks[1])]
+    hidden = {c: fresh(docs.columns, f"_{c}") for c in columns if c.lower() == "_metadata"}
+    if not hidden and "_metadata" not in (c.lower() for c in docs.columns):
+        try:
+            return docs.select(*mark, *quoted(columns))
+        except AnalysisException:
+            pass
+    kept = stored(docs.select(*quoted(columns)).withColumnsRenamed(hidden), "located")
+    return kept.select(*mark, *quoted(kept.columns)).withColumnsRenamed({new: old for old, new in hidden.items()})
