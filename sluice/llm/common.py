@@ -42,6 +42,15 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of 8 to 24 bytes that may be sent to every task (some tens of MB).
+SMALL = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of narrow rows, marked to be sent to every task if it has ``SMALL`` rows at most; else joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has a link.
 

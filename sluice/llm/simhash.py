@@ -18,7 +18,7 @@
 Nulls and texts without a word have fingerprint 0 and link like any other.
 Rows that repeat an id are returned as often as they occur. A class whose ids
 are all null has a null component. An empty table gives an empty result. Extra
-columns are ignored.
+columns are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from sluice.llm.common import connected_components, stored, table
+from sluice.llm.common import bounded, connected_components, drop_scratch, fresh, located, quoted, stored, table
 
 SEED, SHINGLE, MAX_BITS, PAIR_LIMIT = 42, 3, 2, 16
 
@@ -55,15 +56,17 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bits as a signed bigint."""
+def with_fingerprint(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, ..., fp): fp is the fingerprint's bits as a signed bigint."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *more, "text")
+    kept = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fps.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), StructField("fp", LongType())]))
 
 
 def _crowded(rows: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
@@ -104,28 +107,45 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_LIMIT
     return reduce(DataFrame.unionAll, found).distinct()
 
 
+def roots(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) of the fingerprints that have a link, but for the roots themselves."""
+    return connected_components(links(fps.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+
+
 def classes(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     rows = stored(with_fingerprint(docs), "simhash")
     fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = connected_components(links(fps.select("fp"), max_bits))
-    rooted = fps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = fps.join(roots(fps, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = stored(rooted.join(ids, "root").select("fp", "component_id"), "simhash-class")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each class: the row whose id is the class's smallest.
-
-    If rows repeat that id, the one with the least text stays. Rows without an
-    id are kept: nothing can name them.
+    """One row of each class: of those with the smallest id the one with the longest text.
+
+    Rows are named by file and row number, so rows that repeat an id are told
+    apart: those of one class leave one row, those of two classes one each. A
+    row without an id stays only if no row of its class has one. What is
+    decided travels without texts; the rows that go are filtered out where the
+    texts are read, by a broadcast of at most ``SMALL`` rows of 16 bytes, and
+    by a join beyond.
     """
-    cols = docs.columns
-    keep = classes(docs.where("doc_id IS NOT NULL"), max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.xxhash64(*cols))
-    once = docs.join(keep, "doc_id", "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return once.select(cols).unionByName(docs.where("doc_id IS NULL").select(cols))
+    f, r = (fresh(docs.columns, n) for n in ("_f", "_r"))
+    whole = located(docs, *docs.columns, marks=(f, r))
+    marked = whole.select("doc_id", F.col(f).alias("f"), F.col(r).alias("r"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text")
+    rows = stored(with_fingerprint(marked, "f", "r", "n"), "simhash")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", (-F.col("n")).alias("short"), "f", "r")).alias("best")
+    fps = stored(rows.groupBy("fp").agg(best, F.count("*").alias("times")), "simhash-fps")
+    rooted = fps.join(roots(fps, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    shared = rooted.groupBy("root").agg(F.min("best").alias("stays"), F.sum("times").alias("all")).where(F.col("all") > 1)
+    stays = stored(rooted.join(shared, "root").select("fp", F.col("stays.f").alias("sf"), F.col("stays.r").alias("sr")), "simhash-stays")
+    gone = rows.join(bounded(stays), "fp").where((F.col("f") != F.col("sf")) | (F.col("r") != F.col("sr")))
+    gone = stored(gone.select(F.col("f").alias(f), F.col("r").alias(r)), "simhash-gone")
+    for t in (rows, fps, stays):
+        drop_scratch(t)
+    return whole.join(bounded(gone), [f, r], "left_anti").select(*quoted(docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
