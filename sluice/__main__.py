@@ -19,9 +19,10 @@ def session():
 
 def check(path: str) -> int:
     from sluice.config import InvalidConfig, load
+    from sluice.operators.enrich import HttpEnricher
 
     try:
-        c = load(open(path, encoding="utf-8").read())
+        c = load(open(path, encoding="utf-8").read(), HttpEnricher())
     except InvalidConfig as e:
         print("\n".join(e.problems), file=sys.stderr)
         return 1
@@ -32,10 +33,12 @@ def check(path: str) -> int:
 def run(path: str, once: bool) -> int:
     from sluice.config import load
     from sluice.control import serve
+    from sluice.operators.enrich import HttpEnricher
     from sluice.streaming.pipeline import Pipeline
 
-    config = load(open(path, encoding="utf-8").read())
-    pipeline = Pipeline(session(), config)
+    config = load(open(path, encoding="utf-8").read(), HttpEnricher())
+    enricher = HttpEnricher(config.enrich.key)
+    pipeline = Pipeline(session(), config, enricher)
     query = pipeline.start(once)
     if once:
         query.awaitTermination()
@@ -47,7 +50,7 @@ def run(path: str, once: bool) -> int:
 
     def reload(*_) -> None:
         try:
-            new = load(open(path, encoding="utf-8").read())
+            new = load(open(path, encoding="utf-8").read(), enricher)
             pipeline.reload(new.rules, new.dlp)
         except ValueError as e:
             print(f"rules kept: {e}", file=sys.stderr)

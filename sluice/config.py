@@ -134,8 +134,14 @@ class SinkConfig:
     retry: RetryConfig = field(default_factory=RetryConfig)
 
 
+@dataclass
+class EnrichConfig:
+    key: str = ""
+
+
 @dataclass
 class Config:
+    enrich: EnrichConfig = field(default_factory=EnrichConfig)
     server: Server = field(default_factory=Server)
     pipeline: PipelineConfig = field(default_factory=PipelineConfig)
     wal: WalConfig = field(default_factory=WalConfig)
@@ -182,9 +188,9 @@ def _fill(kind, spec: Any, where: str, problems: list[str]):
     return kind(**values)
 
 
-NESTED = {"server": Server, "pipeline": PipelineConfig, "wal": WalConfig, "dedup": DedupConfig, "retry": RetryConfig}
+NESTED = {"enrich": EnrichConfig, "server": Server, "pipeline": PipelineConfig, "wal": WalConfig, "dedup": DedupConfig, "retry": RetryConfig}
 LISTS = {"sources": SourceConfig, "sinks": SinkConfig}
-SOURCE_TYPES, SINK_TYPES = {"http", "webhook", "syslog", "file"}, {"file", "http", "kafka", "s3", "memory"}
+SOURCE_TYPES = {"http", "webhook", "syslog", "file"}
 
 
 def load(text: str, enricher: Enricher | None = None) -> Config:
@@ -216,9 +222,10 @@ def parse_yaml(text: str) -> Any:
 def check(c: Config, enricher: Enricher | None = None) -> list[str]:
     """Problems of a filled configuration."""
     from sluice.operators.parsers import PARSERS
+    from sluice.sinks.writers import WRITERS
 
     found: list[str] = []
-    for kind, items, types in (("source", c.sources, SOURCE_TYPES), ("sink", c.sinks, SINK_TYPES)):
+    for kind, items, types in (("source", c.sources, SOURCE_TYPES), ("sink", c.sinks, set(WRITERS))):
         seen: set[str] = set()
         for n, x in enumerate(items):
             name = x.id or f"#{n}"

@@ -30,6 +30,14 @@ def first_seen(events: DataFrame, arrival: str, tie: str | None = None) -> DataF
     return kept.select(events.columns).unionByName(events.where(F.coalesce(F.col("id"), F.lit("")) == ""))
 
 
+def first_of_each(events: DataFrame, key: str, arrival: str, tie: str) -> DataFrame:
+    """Of rows with the same key and arrival the one with the least ``tie``; rows without a key all stay."""
+    named = F.coalesce(F.col(key), F.lit("")) != ""
+    least = events.where(named).groupBy(F.col(key).alias("_k"), F.col(arrival).alias("_a")).agg(F.min(tie).alias("_least"))
+    same = (F.col(key) == F.col("_k")) & (F.col(arrival) == F.col("_a")) & (F.col(tie) == F.col("_least"))
+    return events.where(named).join(least, same, "left_semi").unionByName(events.where(~named))
+
+
 def accepted_times(times: Column, ttl: Column) -> Column:
     """Of sorted arrival times those that are accepted: each at least ``ttl`` after the last accepted one."""
     start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
@@ -37,19 +45,29 @@ def accepted_times(times: Column, ttl: Column) -> Column:
     return F.aggregate(F.sort_array(times), start, step, lambda acc: acc["kept"])
 
 
-def within_ttl(events: DataFrame, arrival: str, ttl_us: int) -> DataFrame:
+def within_ttl(events: DataFrame, arrival: str, ttl_us: int, before: DataFrame | None = None) -> DataFrame:
     """``events`` (arrival in microseconds) with ``duplicate``, exactly.
 
-    Whether an arrival is accepted depends on all before it, so the distinct
-    arrival times of an id (numbers only, repeats merged before the shuffle)
-    are folded together; the events themselves are joined back and may be
-    split. Unbounded feeds use the keyed state of ``stream_exact``.
+    Whether an arrival is accepted depends on the last accepted one. Behind a
+    gap of ``ttl_us`` or more the next arrival is accepted whatever was before,
+    so an id's distinct arrival times fall into runs that don't depend on one
+    another, and only the times of one run are folded together; the events
+    themselves are joined back and may be split. ``before`` (id, last) are
+    acceptances from earlier, one for each id at most.
     """
-    times = events.groupBy("id").agg(F.collect_set(arrival).alias("_t"))
-    kept = times.select(F.col("id").alias("_id"), F.explode(accepted_times(F.col("_t"), F.lit(ttl_us))).alias("_kept"))
+    named = F.coalesce(F.col("id"), F.lit("")) != ""
+    times = events.where(named).select("id", F.col(arrival).cast("bigint").alias("_t")).distinct().withColumn("_old", F.lit(False))
+    if before is not None:
+        old = before.join(times.select("id").distinct(), "id", "left_semi").select("id", F.col("last").cast("bigint").alias("_t"), F.lit(True).alias("_old"))
+        times = times.unionAll(old).groupBy("id", "_t").agg(F.max("_old").alias("_old"))
+    order = Window.partitionBy("id").orderBy("_t")
+    begins = F.coalesce(F.col("_t") - F.lag("_t").over(order) >= ttl_us, F.lit(True))
+    runs = times.withColumn("_begins", begins.cast("int")).withColumn("_run", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    folded = runs.groupBy("id", "_run").agg(F.collect_list("_t").alias("_t"), F.max(F.when(F.col("_old"), F.col("_t"))).alias("_was"))
+    kept = folded.select(F.col("id").alias("_id"), F.explode(accepted_times(F.col("_t"), F.lit(ttl_us))).alias("_kept"), "_was").where(F.col("_was").isNull() | (F.col("_kept") != F.col("_was"))).drop("_was")
     number = F.row_number().over(Window.partitionBy("id", arrival).orderBy(F.lit(1)))
     marked = events.join(kept, (F.col("id") == F.col("_id")) & (F.col(arrival) == F.col("_kept")), "left")
-    again = (F.col("_kept").isNull() | (number > 1)) & (F.coalesce(F.col("id"), F.lit("")) != "")
+    again = (F.col("_kept").isNull() | (number > 1)) & named
     return marked.withColumn("duplicate", again).drop("_id", "_kept")
 
 

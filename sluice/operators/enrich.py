@@ -102,12 +102,12 @@ def enriched(df: DataFrame, spec: EnrichSpec, enricher: Enricher, hit: Column) -
                 if a is None:
                     try:
                         a = (enricher.ask(spec, q) or "").strip()
-                    except Exception:  # noqa: BLE001  whatever the provider raises, the event goes on
+                    except Exception:  # noqa: BLE001  whatever the provider raises, the event goes on and is counted as failed
                         a = ""
                     if a:
                         _WORKER_CACHE.put(key, a, spec.cache_ttl)
                 got[q] = a
-            yield batch.map(got)
+            yield pd.Series([got.get(q) if isinstance(q, str) else None for q in batch], dtype=object)
 
     df = df.withColumn("_asked", asked).withColumn("_answer", answer("_asked"))
     ok = F.col("_asked").isNotNull() & (F.coalesce(F.col("_answer"), F.lit("")) != "")
@@ -119,4 +119,4 @@ def enriched(df: DataFrame, spec: EnrichSpec, enricher: Enricher, hit: Column) -
         df = df.withColumns({c: F.when(write, v).otherwise(F.col(c)) for c, v in set_path(spec.output_field, new, new.cast("variant")).items()})
     label = F.when(F.col("_ok"), "llm").otherwise("fallback")
     df = df.withColumns({c: F.when(write, v).otherwise(F.col(c)) for c, v in set_path("attrs.enrichment_source", label, label.cast("variant")).items()})
-    return df.withColumn("enriched", F.col("enriched") + F.col("_ok").cast("int")).drop("_asked", "_answer", "_ok", "_failed")
+    return df.withColumns({"enriched": F.col("enriched") + F.col("_ok").cast("int"), "enrich_failed": F.col("enrich_failed") + (F.col("_asked").isNotNull() & ~F.col("_ok")).cast("int")}).drop("_asked", "_answer", "_ok", "_failed")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 BOUNDS = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
 
 
-def counters(evaluated: DataFrame, *by: str) -> DataFrame:
-    """Events, drops by reason, redactions and enrichments, in one pass."""
+def counters(evaluated: DataFrame, *by: str, failures: bool = False) -> DataFrame:
+    """Events, drops by reason, redactions, enrichments and (if asked for) those that failed, in one pass."""
     count = lambda c: F.count(F.when(c, 1))
     return evaluated.groupBy(*by).agg(
         F.count("*").alias("events"),
@@ -20,6 +20,7 @@ def counters(evaluated: DataFrame, *by: str) -> DataFrame:
         count(F.col("drop_reason") == "sampled").alias("sampled_out"),
         F.sum("redacted").cast("bigint").alias("redactions"),
         F.sum("enriched").cast("bigint").alias("enrichments"),
+        *([F.sum("enrich_failed").cast("bigint").alias("enrich_failures")] if failures else []),
     )
 
 

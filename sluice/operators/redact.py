@@ -77,12 +77,12 @@ DEFAULT = RuleSet(
 
 def redact_text(value: Column, patterns: list[Pattern]) -> tuple[Column, Column]:
     """The text after all patterns in order, and whether any matched what it saw."""
-    shown, hit = _text_sql("v", patterns)
-    return bind(value, shown), F.coalesce(bind(value, hit), F.lit(False))
+    both = bind(value, _pair_sql("v", "v", patterns, lambda t: t))
+    return both["v"], F.coalesce(both["n"] > 0, F.lit(False))
 
 
 def _text_sql(t: str, patterns: list[Pattern]) -> tuple[str, str]:
-    """SQL of ``redact_text`` for the SQL text ``t``."""
+    """SQL of the text after all patterns for the SQL text ``t``, and of whether any matched."""
     hits = []
     for p in patterns:
         java = text(regexes.to_java(p.regex))
@@ -91,28 +91,44 @@ def _text_sql(t: str, patterns: list[Pattern]) -> tuple[str, str]:
     return t, "(" + " OR ".join(hits or ["false"]) + ")"
 
 
+def _any_sql(t: str, patterns: list[Pattern]) -> str:
+    """SQL test that holds wherever any pattern matches ``t`` as it is; what no pattern matches, none changes."""
+    java = [regexes.to_java(p.regex) for p in patterns]
+    if any("(?<" in j.replace("(?<=", "").replace("(?<!", "") for j in java):  # names could clash in one expression
+        return "(" + " OR ".join(f"coalesce({t} RLIKE {text(j)}, false)" for j in java) + ")"
+    return f"coalesce({t} RLIKE {text('|'.join(f'(?:{j})' for j in java))}, false)" if java else "false"
+
+
+def _pair_sql(t: str, same: str, patterns: list[Pattern], wrap) -> str:
+    """SQL struct (v, n) for the lambda variable ``t``: ``wrap`` of the redacted text and 1 if a pattern matches, else ``same`` and 0."""
+    shown, hit = _text_sql(t, patterns)
+    return f"if({_any_sql(t, patterns)}, named_struct('v', {wrap(shown)}, 'n', cast({hit} AS int)), named_struct('v', {same}, 'n', 0))"
+
+
 def variant_sql(v: str, patterns: list[Pattern], depth: int) -> str:
     """SQL struct (v: the VARIANT with every text leaf redacted, n: leaves changed).
 
     Below ``depth`` levels of lists and objects the patterns run over the JSON
-    text of what is left, so nothing escapes them.
+    text of what is left, so nothing escapes them. Texts are tested once, all
+    patterns together; only those that match are rewritten.
     """
-    pair = lambda value, n: f"named_struct('v', {value}, 'n', cast({n} AS int))"
-    kind = f"schema_of_variant({v})"
-    own, hit = _text_sql(f"try_variant_get({v}, '$', 'string')", patterns)
-    parts = [f"WHEN {kind} = 'STRING' THEN {pair(f'cast({own} AS variant)', hit)}"]
+    once = lambda value, body: f"get(transform(array({value}), t{depth} -> {body}), 0)"
+    t, kind = f"t{depth}", f"schema_of_variant({v})"
+    own = once(f"try_variant_get({v}, '$', 'string')", _pair_sql(t, v, patterns, lambda x: f"cast({x} AS variant)"))
+    parts = [f"WHEN {kind} = 'STRING' THEN {own}"]
     if depth == 0:
-        flat, hit = _text_sql(f"to_json({v})", patterns)
-        parts.append(f"WHEN startswith({kind}, 'ARRAY') OR startswith({kind}, 'OBJECT') THEN {pair(f'coalesce(try_parse_json({flat}), cast({flat} AS variant))', hit)}")
+        flat = once(f"to_json({v})", _pair_sql(t, v, patterns, lambda x: f"coalesce(try_parse_json({x}), cast({x} AS variant))"))
+        parts.append(f"WHEN startswith({kind}, 'ARRAY') OR startswith({kind}, 'OBJECT') THEN {flat}")
     else:
         inner = lambda name: variant_sql(name, patterns, depth - 1)
         items = f"transform(try_variant_get({v}, '$', 'array<variant>'), a{depth} -> {inner(f'a{depth}')})"
         entries = f"transform_values(try_variant_get({v}, '$', 'map<string,variant>'), (k{depth}, b{depth}) -> {inner(f'b{depth}')})"
+        pair = lambda value, n: f"named_struct('v', {value}, 'n', cast({n} AS int))"
         listed = pair("to_variant_object(transform(p, q -> q.v))", "aggregate(p, 0, (n, q) -> n + q.n)")
         keyed = pair("to_variant_object(transform_values(p, (k, q) -> q.v))", "aggregate(map_values(p), 0, (n, q) -> n + q.n)")
         parts.append(f"WHEN startswith({kind}, 'ARRAY') THEN get(transform(array({items}), p -> {listed}), 0)")
         parts.append(f"WHEN startswith({kind}, 'OBJECT') THEN get(transform(array({entries}), p -> {keyed}), 0)")
-    return f"CASE {' '.join(parts)} ELSE {pair(v, 0)} END"
+    return f"CASE {' '.join(parts)} ELSE named_struct('v', {v}, 'n', 0) END"
 
 
 def set_path(path: str, value: Column, variant: Column) -> dict[str, Column]:

@@ -19,7 +19,7 @@ from sluice.functions.values import Ref, literal_variant, want_text
 from sluice.operators import matchers, redact
 from sluice.operators.enrich import Enricher, EnrichSpec, enriched
 
-STATE = {"alive": "boolean", "drop_reason": "string", "drop_rule": "string", "sinks": "array<string>", "redacted": "int", "enriched": "int", "matched": "array<string>"}
+STATE = {"alive": "boolean", "drop_reason": "string", "drop_rule": "string", "sinks": "array<string>", "redacted": "int", "enriched": "int", "enrich_failed": "int", "matched": "array<string>"}
 
 
 @dataclass
@@ -133,7 +133,7 @@ class Engine:
 
     def evaluate(self, events: DataFrame) -> DataFrame:
         """``events`` with STATE. Leading rules that only drop become one condition, found before anything is rewritten."""
-        df = events.withColumns({"alive": F.lit(True), "redacted": F.lit(0), "enriched": F.lit(0)} | {c: F.lit(None).cast(STATE[c]) for c in ("drop_reason", "drop_rule")} | {c: F.array().cast("array<string>") for c in ("sinks", "matched")})
+        df = events.withColumns({"alive": F.lit(True), "redacted": F.lit(0), "enriched": F.lit(0), "enrich_failed": F.lit(0)} | {c: F.lit(None).cast(STATE[c]) for c in ("drop_reason", "drop_rule")} | {c: F.array().cast("array<string>") for c in ("sinks", "matched")})
         if any(a.sample for r in self.rules for a in r.actions):
             df = with_roll(df, "_roll", F.col("id"))
         for rule in self.rules:

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.config import SinkConfig
 from sluice.functions.hashing import token
 from sluice.functions.times import from_epoch, parse_time_text
 from sluice.functions.values import Ref, severity_name
 from sluice.operators import dedup, matchers, metrics, parsers, redact, rules
 from sluice.operators.normalize import attributed, canonical_json, ensure_id, events_of, parse_severity
-from sluice.plans.views import EV, ev, raw
-from sluice.sinks.writers import partitioned, recent
+from sluice.plans.views import EV, ev, raw, timed
+from sluice.plans.views import canonical as canonical_events
+from sluice.sinks.writers import FileWriter, S3Writer, partitioned, recent
+from sluice.sources import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -385,9 +389,99 @@ def dedup_counts(spark, d):
 # delivery, replay, sinks
 
 
+def _landed(spark: SparkSession, d: str) -> str:
+    """A landing zone with a payload for every event."""
+    folder = _scratch(spark)
+    payload = F.to_json(F.struct("event_id", F.col("event_type").alias("type")))
+    raw(spark, d).select(F.col("event_id").cast("bigint").alias("seq"), F.lit("gen").alias("source_id"), payload.alias("payload"), F.unix_micros("ts").alias("received_us")).write.json(folder)
+    return folder
+
+
 @query("replay_from_seq", "SELECT event_id AS seq, event_type AS category FROM events WHERE event_id >= 500 ORDER BY event_id LIMIT 100")
 def replay_from_seq(spark, d):
-    return raw(spark, d).select(F.col("event_id").alias("seq"), F.col("event_type").alias("category")).where("seq >= 500").orderBy("seq").limit(100)
+    return landing.read(spark, _landed(spark, d), 500, None, 100).select("seq", F.get_json_object("payload", "$.type").alias("category"))
+
+
+@query("replay_log", "SELECT event_id AS seq, event_type AS category FROM events WHERE event_id BETWEEN 300 AND 900")
+def replay_log(spark, d):
+    return landing.read(spark, _landed(spark, d), 300, 900).select("seq", F.get_json_object("payload", "$.type").alias("category"))
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    return ev(spark, d).select("id", "timestamp", canonical_json().alias("json"))
+
+
+@query("file_sink_replay", f"{EV} SELECT id, count(*) AS times FROM (SELECT id FROM ev UNION ALL SELECT id FROM ev WHERE severity >= 4) GROUP BY id")
+def file_sink_replay(spark, d):
+    """A batch written twice is there once; a replay stands beside it."""
+    sink = FileWriter(SinkConfig(id="f", type="file", path=_scratch(spark), keep=0))
+    rows = _letters(spark, d)
+    sink.write(rows.limit(3), 7)
+    sink.write(rows, 7)
+    sink.write(rows.where(F.get_json_object("json", "$.severity").isin("warning", "error")), "replay-1")
+    return spark.read.text(sink.config.path).select(F.get_json_object("value", "$.id").alias("id")).groupBy("id").agg(F.count("*").alias("times"))
+
+
+@query("dlq_replay", f"{EV} SELECT id, category FROM ev WHERE severity >= 4")
+def dlq_replay(spark, d):
+    """Dead letters of a sink delivered to it and cleared; letters of other sinks stay."""
+    from sluice.sinks.dlq import DeadLetters
+
+    letters, sink = DeadLetters(_scratch(spark)), FileWriter(SinkConfig(id="f", type="file", path=_scratch(spark), keep=0))
+    failed = ev(spark, d).where("severity >= 4").select("id", canonical_json().alias("json"), F.lit("down").alias("error"))
+    letters.add("f", failed, 1)
+    letters.add("other", failed, 1)
+    parts = letters.parts(spark, "f")
+    sink.write(letters.read(spark, parts), "replay-1")
+    letters.clear(spark, parts)
+    if letters.parts(spark, "f") or not letters.parts(spark, "other"):
+        raise RuntimeError("the wrong letters were cleared")
+    return spark.read.text(sink.config.path).select(F.get_json_object("value", "$.id").alias("id"), F.get_json_object("value", "$.category").alias("category"))
+
+
+@query("s3_layout", "SELECT CAST(t AS DATE) AS dt, strftime(t, '%H') AS hour, count(*) AS n FROM (SELECT TIMESTAMP '2024-06-01' + to_hours(event_id % 30) AS t FROM events) GROUP BY 1, 2")
+def s3_layout(spark, d):
+    """What the object-store sink wrote, read by its partitions; a repeated batch replaces its own."""
+    sink = S3Writer(SinkConfig(id="s", type="s3", endpoint=_scratch(spark), prefix="logs"), F.timestamp_add("HOUR", F.substr("id", F.lit(5)).cast("int") % 30, F.lit("2024-06-01").cast("timestamp")))
+    rows = _letters(spark, d)
+    sink.write(rows.limit(3), 1)
+    sink.write(rows, 1)
+    found = spark.read.schema("value string, dt date, hour string").text(f"{sink.config.endpoint}/logs/batch=000000000001")
+    return found.groupBy("dt", "hour").agg(F.count("*").alias("n"))
+
+
+@dataclass
+class Shout:
+    """A provider that answers in capitals and fails on texts with personal data."""
+
+    def ask(self, spec, text: str) -> str:
+        if "mail" in text or "card" in text:
+            raise RuntimeError("refused")
+        return text.upper()
+
+
+def _enriched(spark: SparkSession, d: str, **spec) -> DataFrame:
+    rule = [{"match": {"field": "category", "in": ["click", "error"]}, "actions": [{"enrich": {"output_field": "attrs.label", **spec}}]}]
+    return rules.Engine.of(rule, enricher=Shout()).evaluate(ev(spark, d)).select("id", attr("label").alias("label"), attr("enrichment_source").alias("origin"), "enriched", "enrich_failed")
+
+
+REFUSED = "(contains(message, 'mail') OR contains(message, 'card'))"
+ASKED = "category IN ('click', 'error')"
+
+
+@query("enrich_fallback", f"{EV} SELECT id, CASE WHEN {ASKED} THEN CASE WHEN {REFUSED} THEN 'none' ELSE upper(message) END END AS label, CASE WHEN {ASKED} THEN CASE WHEN {REFUSED} THEN 'fallback' ELSE 'llm' END END AS origin, CAST({ASKED} AND NOT {REFUSED} AS INTEGER) AS enriched, CAST({ASKED} AND {REFUSED} AS INTEGER) AS enrich_failed FROM ev")
+def enrich_fallback(spark, d):
+    return _enriched(spark, d, fallback="none")
+
+
+@query("enrich_without_fallback", f"{EV} SELECT id, CASE WHEN {ASKED} AND NOT {REFUSED} THEN upper(message) END AS label, CASE WHEN {ASKED} AND NOT {REFUSED} THEN 'llm' END AS origin, CAST({ASKED} AND NOT {REFUSED} AS INTEGER) AS enriched, CAST({ASKED} AND {REFUSED} AS INTEGER) AS enrich_failed FROM ev")
+def enrich_without_fallback(spark, d):
+    return _enriched(spark, d)
+
+
+@query("enrich_no_input", f"{EV} SELECT id, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS origin, 0::INTEGER AS enriched, 0::INTEGER AS enrich_failed FROM ev")
+def enrich_no_input(spark, d):
+    return _enriched(spark, d, prompt_field="attrs.nowhere", fallback="none")
 
 
 @query("ring_recent", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -475,12 +569,11 @@ def _stream_of(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
 
 
-@query("stream_rules", f"{EV} SELECT id, category FROM ev WHERE category <> 'view' AND value >= 20")
+@query("stream_rules", f"{EV} SELECT id, category, {_sql_redacted('message')} AS message, CAST({_sql_redacted('message')} <> message AS INTEGER) + CAST(secret IS NOT NULL AS INTEGER) AS redacted FROM ev WHERE category <> 'view' AND value >= 20")
 def stream_rules(spark, d):
     def plan(s: DataFrame) -> DataFrame:
-        events = s.select(F.concat(F.lit("evt-"), "event_id").alias("id"), F.col("ts").cast("timestamp").alias("timestamp"), F.lit("events").alias("source_id"), *(F.lit("").alias(c) for c in ("host", "actor", "resource", "trace_id")), F.lit(2).alias("severity"), F.col("event_type").alias("category"), F.create_map(F.lit("value"), F.col("value").cast("variant")).alias("attrs"), F.array().cast("array<string>").alias("tags"), F.col("ts").cast("timestamp").alias("received_at"))
-        plain = [r for r in FLAGSHIP if r["name"] != "hide"]
-        return rules.Engine.of(plain).evaluate(events).where(F.col("alive") & F.array_contains("tags", "large")).select("id", "category")
+        done = rules.Engine.of(FLAGSHIP).evaluate(canonical_events(timed(s)))
+        return done.where(F.col("alive") & F.array_contains("tags", "large")).select("id", "category", attr("message").alias("message"), "redacted")
 
     return _streamed(spark, _stream_of(spark, d, "events"), plan)
 

@@ -11,8 +11,12 @@ LEVELS = {"click": 2, "view": 1, "signup": 3, "purchase": 4, "error": 5}
 KEY = "ya29"
 
 
+def timed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def message() -> F.Column:
@@ -24,13 +28,18 @@ def message() -> F.Column:
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in canonical form."""
+    return canonical(raw(spark, sf_dir))
+
+
+def canonical(rows: DataFrame) -> DataFrame:
+    """Rows of the events table in canonical form."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     level = F.create_map(*(F.lit(x) for p in LEVELS.items() for x in p))
     attrs = F.create_map(F.lit("value"), F.col("value").cast("variant"), F.lit("k"), k.cast("variant"), F.lit("message"), message().cast("variant"), F.lit("props"), F.parse_json("props"))
     attrs = F.when(F.col("event_id") % 4 == 0, F.map_concat(attrs, F.create_map(F.lit("secret"), F.concat(F.lit("s-"), F.col("event_id")).cast("variant")))).otherwise(attrs)
     tags = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("third"))).otherwise(F.array().cast("array<string>"))
     text = lambda *parts: F.concat(*parts)
-    return raw(spark, sf_dir).select(
+    return rows.select(
         text(F.lit("evt-"), "event_id").alias("id"), F.col("ts").alias("timestamp"), F.lit("events").alias("source_id"), text(F.lit("edge-"), F.col("user_id") % 6).alias("host"), F.element_at(level, F.col("event_type")).alias("severity"),
         F.col("event_type").alias("category"), text(F.lit("user-"), "user_id").alias("actor"), F.when(F.col("event_id") % 5 == 0, "").otherwise(text(F.lit("/item/"), F.col("event_id") % 50)).alias("resource"), F.lit("").alias("trace_id"),
         attrs.alias("attrs"), tags.alias("tags"), F.col("ts").alias("received_at"),

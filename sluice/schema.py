@@ -40,7 +40,7 @@ FACILITIES = {
     0: "kern", 1: "user", 2: "mail", 3: "daemon", 4: "auth", 5: "syslog", 6: "lpr", 7: "news", 8: "uucp", 9: "cron", 10: "authpriv", 11: "ftp",
     16: "local0", 17: "local1", 18: "local2", 19: "local3", 20: "local4", 21: "local5", 22: "local6", 23: "local7",
 }
-#: Names that a path may start with, and the column behind them.
+# Names that a path may start with, and the column behind them; configurations use them.
 PATH_NAMES = {
     "id": "id", "timestamp": "timestamp", "time": "timestamp", "source": "source_id", "source_id": "source_id", "host": "host", "hostname": "host",
     "severity": "severity", "level": "severity", "category": "category", "actor": "actor", "user": "actor", "resource": "resource",

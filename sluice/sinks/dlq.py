@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,5 +36,9 @@ class DeadLetters:
             path = spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def sinks(self) -> list[str]:
-        return sorted(p.name.partition("=")[2] for p in Path(self.folder).glob("sink=*"))
+    def sinks(self, spark: SparkSession) -> list[str]:
+        """Sinks that have letters."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [str(s.getPath().getName()) for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(n.partition("=")[2] for n in names if n.startswith("sink="))

@@ -8,8 +8,11 @@ checkpoint.
 
 from __future__ import annotations
 
+import json
 import os
+import threading
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -76,3 +79,56 @@ def stream(spark: SparkSession, path: str, start_at: str = "end", max_line_bytes
     """(payload): lines appended to ``path``."""
     spark.dataSource.register(TailSource)
     return spark.readStream.format("tail").option("path", path).option("start_at", start_at).option("max_line_bytes", max_line_bytes).load()
+
+
+class Follower:
+    """Lands the lines of a configured file: the running pipeline's file source.
+
+    The position is stored after its lines have landed, so a restart may land
+    the last lines again but loses none. A full landing zone makes it wait.
+    """
+
+    def __init__(self, config, zone, metrics, offsets: str):
+        options = {"path": config.file, "start_at": config.start_at, "max_line_bytes": config.max_line_bytes}
+        self.config, self.zone, self.metrics, self.reader = config, zone, metrics, TailReader(options)
+        self.file = Path(config.offsets_file or offsets)
+        self._stop = threading.Event()
+        self._thread: threading.Thread | None = None
+        self.at = json.loads(self.file.read_text()) if self.file.exists() else self.reader.initialOffset()
+
+    def poll(self) -> int:
+        """Land what is new; the number of lines."""
+        from sluice.sources.landing import Saturated
+
+        landed = 0
+        while True:
+            rows, end = self.reader.read(self.at)
+            lines = [r[0] for r in rows]
+            if end == self.at:
+                return landed
+            try:
+                self.zone.append(self.config.id, lines)
+            except Saturated:
+                self.metrics.add("source_saturated_total", source=self.config.id)
+                return landed
+            self.file.parent.mkdir(parents=True, exist_ok=True)
+            part = self.file.with_name(self.file.name + ".part")
+            part.write_text(json.dumps(end))
+            os.replace(part, self.file)
+            self.at, landed = end, landed + len(lines)
+            self.metrics.add("source_received_total", len(lines), source=self.config.id)
+
+    def start(self) -> Follower:
+        def run() -> None:
+            while not self._stop.is_set():
+                self.poll()
+                self._stop.wait(self.config.poll_interval)
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+        return self
+
+    def close(self) -> None:
+        self._stop.set()
+        if self._thread is not None:
+            self._thread.join()
