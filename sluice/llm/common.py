@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def by_bytes(batch, rows: int, most: int = 4 << 20, column: str = "text"):
+    """``batch`` in slices of at most ``rows`` rows, and of ``most`` bytes of ``column`` unless a single row has more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at >= rows or held + n > most):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column is called so."""
     taken = {c.lower() for c in columns}

@@ -1,8 +1,8 @@
 """Language identification with the byte convolutional network.
 
 The network learns from windows of a bounded sample of labelled texts:
-``PER_LANG`` texts of each language at most, chosen by a hash of their id, and
-``WINDOWS`` windows of each. Only text and label enter. Every text is then
+about ``PER_LANG`` different texts of each language, those with the least hashes, and
+``WINDOWS`` windows of each, placed by hashes of the text. Only text and label enter. Every text is then
 predicted whole: all its windows of ``LENGTH`` bytes are classified and their
 probabilities averaged, weighted by the letters in each window.
 
@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from sluice.llm.common import fresh, table
+from sluice.llm.common import by_bytes, fresh, table
 from sluice.llm.convnet import ByteConvNet, softmax, windows_of
 
 LENGTH, PER_LANG, WINDOWS, MAX_LANGS = 128, 1200, 4, 1000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")  # takes in numbers such as one half, which are no letters
 IS_LETTER = np.array([(65 <= c <= 90) or (97 <= c <= 122) or c >= 0xC3 for c in range(256)])
 
 
@@ -38,6 +38,10 @@ def held_out(doc_id: Column = None, of: int = 4) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % of == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -51,7 +55,7 @@ class Model:
             return found
         parts, owner = [], []
         for i, t in enumerate(texts):
-            if t and LETTER.search(t):
+            if t and has_letter(t):
                 parts.append(windows_of(t.lower().encode("utf-8", "replace"), self.length))
                 owner.append((i, len(parts[-1])))
         if not parts:
@@ -75,15 +79,16 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, length: int = LENGTH, s
     if not counts:
         return Model([], None, length)
     labels = sorted(counts)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / 1e6
+    own = F.xxhash64("text", F.lit(seed))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n)))), F.col("lang"))
-    sample = rows.where(draw < share)
-    spot = lambda k: F.substr("text", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + k)), F.greatest(F.lit(1), F.length("text") - length)) + 1).cast("int"), F.lit(length))
-    got = sample.select("lang", F.array(*(spot(k) for k in range(1, WINDOWS + 1))).alias("w")).limit(2 * per_lang * len(labels)).toPandas()
+    sample = rows.where(F.pmod(own, F.lit(1_000_000)) / 1e6 < share)
+    spot = lambda k: F.substr("text", (F.pmod(F.xxhash64("text", F.lit(seed + k)), F.greatest(F.lit(1), F.length("text") - length)) + 1).cast("int"), F.lit(length))
+    once = sample.select("lang", own.alias("own"), F.array(*(spot(k) for k in range(1, WINDOWS + 1))).alias("w")).groupBy("lang", "own").agg(F.first("w").alias("w"))  # a group of equal texts teaches once
+    got = once.orderBy("own", "lang").limit(2 * per_lang * len(labels)).toPandas()
     x, y = [], []
     for lang, parts in zip(got["lang"], got["w"], strict=True):
         for part in parts:
-            if LETTER.search(part):
+            if has_letter(part):
                 x.append(windows_of(part.lower().encode("utf-8", "replace")[:length], length)[0])
                 y.append(labels.index(lang))
     if not x:
@@ -100,8 +105,7 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, 400):
-                b = whole.slice(at, 400)
+            for b in by_bytes(whole, 400):
                 got = m.predict(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*b.schema.names, pred, score])
 

@@ -5,15 +5,18 @@ random, and returns one manifest row per finished archive. The manifest is a
 table in the shared folder; archives of lost or repeated task attempts are not
 in it and are never read.
 
-Reading: a task gets a byte range. It looks for the gzip magic, takes a
-candidate only if the member decodes (CRC included), starts with ``WARC/`` and
-is followed by another member or the end of the file, and returns the records
-whose member starts inside its range, reading past the range's end for the
-last one. So each record is returned by exactly one range, wherever ranges are
-cut. Inside a member that a false start lay in (an archive stored within a
-payload), the chain of false members runs into bytes that are no member: the
-whole chain is then discarded and the search goes on behind its first byte.
-Ranges have to be larger than archives inside payloads for that.
+Reading: archives are cut into byte ranges, and a record belongs to the range
+that its member starts in. A first pass over the ranges looks for the gzip
+magic, takes a candidate only if the member decodes (CRC included) and starts
+with ``WARC/``, and walks from member to member; it reports where a range's
+first member starts and where the member behind its last one does. Then the
+ranges of each archive are put together from its first byte on: one whose first
+member is not where the range before it ended began in an archive stored inside
+a payload, and is walked again from the right place. The second pass returns
+the records. So records are the same wherever ranges are cut, and none is read
+from inside another. A damaged member is left out: the walk goes on at the next
+sound member behind its start (which is foreign only if the damaged record held
+an uncompressed archive itself). A record is held in memory as a whole.
 
 Nulls: a null payload is written as an empty one; a null id becomes the record
 id ``urn:page:null`` and is read back as null; a null URL gives no target
@@ -159,36 +162,72 @@ def find_magic(f, at: int, end: int, size: int, chunk: int = 1 << 20) -> int | N
     return None
 
 
-def read_range(f, size: int, start: int, end: int) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records whose member starts in [start, end)."""
-    pos, chain, first = start, [], None
-    while pos < end:
-        if first is None:
-            if (pos := find_magic(f, pos, end, size)) is None:
-                return
-            first = pos
-        got = read_member(f, pos)
-        head = got and parse_headers(got[0].partition(b"\r\n\r\n")[0])
-        if got and head is not None:
-            raw, after = got
-            f.seek(after)
-            if after >= size or f.read(3) == MAGIC:
-                at = raw.index(b"\r\n\r\n") + 4
-                chain.append((head, raw[at : at + int(head.get("content-length", len(raw)))]))
-                pos = after
-                continue
-            if first == 0:  # a chain from the file's first byte is no embedded one
-                at = raw.index(b"\r\n\r\n") + 4
-                chain.append((head, raw[at : at + int(head.get("content-length", len(raw)))]))
-                yield from chain
-                chain, first, pos = [], None, after
-                continue
-            chain, pos, first = [], first + 1, None
+def walk(f, size: int, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(position, position behind, raw record) of the sound members from ``start`` on that start before ``end``.
+
+    Behind what is no member the walk goes on at the next sound one.
+    """
+    pos = start
+    while pos is not None and pos < end:
+        if got := read_member(f, pos):
+            yield pos, got[1], got[0]
+            pos = got[1]
+        else:
+            pos = find_magic(f, pos + 1, end, size)
+
+
+def guessed(f, size: int, start: int, end: int) -> tuple[int, int]:
+    """Like ``bounds``, without knowing where the range's first member starts.
+
+    A chain of members that runs into other bytes lay in an archive inside a
+    payload, unless something is damaged; the guess goes on behind it.
+    """
+    first, behind = -1, -1
+    for pos, after, _ in walk(f, size, start, end):
+        if first >= 0 and pos != behind and first > 0:
+            first = -1
+        first, behind = pos if first < 0 else first, after
+    if first > 0 and behind < end:
+        f.seek(behind)
+        if behind < size and f.read(3) != MAGIC:
+            return -1, -1
+    return first, behind
+
+
+def bounds(f, size: int, start: int, end: int) -> tuple[int, int]:
+    """Where the first member of ``walk`` starts, and where the one behind its last would; -1 where there is none."""
+    first, behind = -1, -1
+    for pos, after, _ in walk(f, size, start, end):
+        first, behind = pos if first < 0 else first, after
+    return first, behind
+
+
+def read_range(f, size: int, start: int, end: int, at: int | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records whose member starts in [start, end); ``at`` is the first of them, else it is guessed."""
+    at = guessed(f, size, start, end)[0] if at is None else at
+    for _, _, raw in walk(f, size, at, end) if at >= 0 else ():
+        top, gap, rest = raw.partition(b"\r\n\r\n")
+        if gap and (head := parse_headers(top)) is not None:
+            yield head, rest[: int(head["content-length"]) if head.get("content-length", "").isdigit() else len(rest)]
+
+
+def settle(f, size: int, ranges: list[tuple[int, int, int, int]]) -> list[int]:
+    """The true first member of each range (start, end, first, behind), in order from the file's first byte; -1: none.
+
+    ``due`` is where the members so far end. Where it stands before a range,
+    something was damaged, and the walk goes on at the range's first sound member.
+    """
+    out, due = [], 0
+    for start, end, first, behind in ranges:
+        if due >= end:  # a record reaches over the whole range
+            out.append(-1)
             continue
-        if chain:  # magic, but not a sound member: a damaged record behind sound ones
-            yield from chain
-        chain, pos, first = [], pos + 1, None
-    yield from chain
+        if first != due or due < start:
+            first, behind = bounds(f, size, max(due, start), end)
+        out.append(first)
+        if first >= 0:
+            due = behind
+    return out
 
 
 def page_of(urn: str | None) -> int | None:
@@ -209,10 +248,37 @@ def to_row(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
     return page_of(head.get("warc-record-id")), head.get("warc-target-uri"), kind, page_of(head.get("warc-refers-to")), digest, length, payload if with_payload else None
 
 
+def located_ranges(manifest: DataFrame, range_bytes: int) -> DataFrame:
+    """(path, bytes, start, first), stored: the archives' byte ranges and the first member of each."""
+    ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint"))).alias("start"))
+    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path, size, start in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "start")), strict=True):
+                fs, name = open_fs(path)
+                with fs.open_input_file(name) as f:
+                    found.append(guessed(f, size, start, min(size, start + range_bytes)))
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("bytes"), b.column("start"), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["path", "bytes", "start", "first", "behind"])
+
+    def put_together(key, t):
+        t = t.sort_by("start")
+        path, size = key[0].as_py(), t["bytes"][0].as_py() if len(t) else 0
+        fs, name = open_fs(path)
+        rows = [(s, min(size, s + range_bytes), a, b) for s, a, b in zip(*(t[c].to_pylist() for c in ("start", "first", "behind")), strict=True)]
+        with fs.open_input_file(name) as f:
+            first = settle(f, size, rows)
+        return pa.table({"path": t["path"], "bytes": t["bytes"], "start": t["start"], "first": pa.array(first, pa.int64())})
+
+    seen = ranges.repartition(int(n)).mapInArrow(look, "path string, bytes bigint, start bigint, first bigint, behind bigint")
+    return stored(seen.groupBy("path").applyInArrow(put_together, "path string, bytes bigint, start bigint, first bigint").where("first >= 0"), "warc-ranges")
+
+
 def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8 << 20, with_payload: bool = True) -> DataFrame:
     """Rows of RECORDS for all archives of a manifest (path, bytes), one task per byte range."""
-    ranges = manifest.select("path", "bytes", F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes))).alias("start"))
-    n = manifest.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
+    ranges = located_ranges(manifest, range_bytes)
+    n = max(1, ranges.count())
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,19 +286,20 @@ def read_archives(spark: SparkSession, manifest: DataFrame, range_bytes: int = 8
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
         for b in batches:
-            for path, size, start in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "start")), strict=True):
+            for path, size, start, first in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "start", "first")), strict=True):
                 fs, name = open_fs(path)
-                rows = []
+                rows, held = [], 0
                 with fs.open_input_file(name) as f:
-                    for head, block in read_range(f, size, start, min(size, start + range_bytes)):
+                    for head, block in read_range(f, size, start, min(size, start + range_bytes), first):
                         rows.append(to_row(head, block, with_payload))
-                        if len(rows) >= 500:
+                        held += len(block) if with_payload else 0
+                        if len(rows) >= 500 or held > 8 << 20:
                             yield batch(rows)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield batch(rows)
 
-    return ranges.repartition(int(n)).mapInArrow(read, RECORDS)
+    return ranges.repartition(n).mapInArrow(read, RECORDS)
 
 
 def round_trip(pages: DataFrame, range_bytes: int = 8 << 20, with_payload: bool = False) -> DataFrame:
