@@ -52,6 +52,24 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def marked_join(left: DataFrame, right: DataFrame, keys: tuple[str, str], how: str, send: bool | None = None) -> DataFrame:
+    """Join on two bigint columns of the same names, kept from the left.
+
+    The key is one hash of both, which Spark keeps in a compact map where it
+    broadcasts, and the columns themselves are compared behind it. ``send``
+    says whether the right side is broadcast; else its rows decide.
+    """
+    a, b = keys
+    h, ra, rb = (fresh([*left.columns, *right.columns], n) for n in ("_join", "_join_a", "_join_b"))
+    own = left.withColumn(h, F.xxhash64(a, b))
+    other = right.withColumnRenamed(a, ra).withColumnRenamed(b, rb).withColumn(f"{h}_r", F.xxhash64(ra, rb))
+    if send or send is None and right.count() <= SMALL:
+        other = F.broadcast(other)
+    same = (F.col(h) == F.col(f"{h}_r")) & (F.col(a).bitwiseXOR(F.col(ra)) == 0) & (F.col(b).bitwiseXOR(F.col(rb)) == 0)
+    done = own.join(other, same, how)
+    return done.drop(h) if how in ("left_anti", "left_semi") else done.drop(h, f"{h}_r", ra, rb)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has a link.
 

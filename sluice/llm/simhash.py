@@ -30,11 +30,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sluice.llm.common import bounded, connected_components, drop_scratch, fresh, located, quoted, stored, table
+from sluice.llm.common import bounded, connected_components, drop_scratch, fresh, located, marked_join, quoted, stored, table
 
 SEED, SHINGLE, MAX_BITS, PAIR_LIMIT = 42, 3, 2, 16
 
@@ -69,42 +69,61 @@ def with_fingerprint(docs: DataFrame, *more: str) -> DataFrame:
     return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), StructField("fp", LongType())]))
 
 
-def _crowded(rows: DataFrame, key: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of keys with 2..limit members, and those of larger keys."""
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("members")).where("members > 1")
-    sized = rows.join(sizes, key)
-    return sized.where(F.col("members") <= limit).drop("members"), sized.where(F.col("members") > limit).drop("members")
+def _sized(rows: DataFrame, *key: str) -> DataFrame:
+    """(key..., members, a, b), stored: the keys with two members or more, and their least and greatest fingerprint."""
+    return stored(rows.groupBy(*key).agg(F.count("*").alias("members"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("members > 1"), "simhash-keys")
+
+
+def _near(max_bits: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
 
 
 def _pairs(rows: DataFrame, key: list[str], max_bits: int) -> DataFrame:
     a, b = rows.withColumnRenamed("fp", "a"), rows.withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return a.join(b, key).where(near).select("a", "b")
+    return a.join(b, key).where((F.col("a") < F.col("b")) & _near(max_bits)).select("a", "b")
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within ``max_bits`` (at most 2)."""
+    """Links (a, b) whose components are those of all pairs within ``max_bits`` (at most 2); ``fps`` is distinct.
+
+    Keys of two members are pairs as they are counted; only members of larger
+    keys are looked up again, and the finer tiers are planned only if a key has
+    over ``pair_limit`` members.
+    """
     if max_bits > 2:
         raise ValueError("six keys of two blocks cover two differing bits at most")
     block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys, rests = [], []
-    for k, (i, j) in enumerate(combinations(range(4), 2)):
-        p, q = (x for x in range(4) if x not in (i, j))
-        keys.append(F.struct((F.lit(k << 32) + F.shiftleft(block(i), 16) + block(j)).alias("key"), (F.shiftleft(block(p), 16) + block(q)).alias("rest"), F.array(*(F.lit(1 << (16 * x + y) if 16 * x + y < 63 else -(1 << 63)).cast("bigint") for x in (p, q) for y in range(16))).alias("bits")))
-    held = fps.select("fp", F.explode(F.array(*keys)).alias("x")).select("fp", "x.*")
-    few, many = _crowded(held, ["key"], pair_limit)
-    found = [_pairs(few.select("key", "fp"), ["key"], max_bits)]
-    part = [F.struct(F.lit(n).alias("part"), F.shiftrightunsigned("rest", at).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for n, (at, width) in enumerate(((0, 11), (11, 11), (22, 10)))]
-    finer = many.select("key", "fp", "bits", F.explode(F.array(*part)).alias("y")).select("key", "fp", "bits", "y.*")
-    few, many = _crowded(finer, ["key", "part", "value"], pair_limit)
-    found.append(_pairs(few.select("key", "part", "value", "fp"), ["key", "part", "value"], max_bits))
-    crowd = many.select("key", "fp", "bits").distinct()
-    flips = F.transform("bits", lambda m: F.col("fp").bitwiseXOR(m))
-    mids = crowd.select("key", "fp", F.explode(F.concat(F.array("fp"), flips)).alias("mid"))
-    met = mids.groupBy("mid").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)  # at most 65: one bit from mid
-    star = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
-    found.append(star.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)))
-    return reduce(DataFrame.unionAll, found).distinct()
+    couples = list(enumerate(combinations(range(4), 2)))
+    others = lambda i, j: [x for x in range(4) if x not in (i, j)]
+    held = fps.select("fp", F.explode(F.array(*(F.lit(k << 32) + F.shiftleft(block(i), 16) + block(j) for k, (i, j) in couples))).alias("key"))
+    sizes = _sized(held, "key")
+    found = [sizes.where("members = 2").where(_near(max_bits)).select("a", "b")]
+    larger = stored(sizes.where("members > 2").select("key", "members"), "simhash-larger")
+    crowd = stored(held.join(bounded(larger), "key"), "simhash-crowd")
+    found.append(_pairs(crowd.where(F.col("members") <= pair_limit).select("key", "fp"), ["key"], max_bits))
+    many = crowd.where(F.col("members") > pair_limit).select("key", "fp")
+    if not many.isEmpty():
+        couple = F.shiftright("key", 32)
+        bit = lambda x, y: F.lit(1 << (16 * x + y) if 16 * x + y < 63 else -(1 << 63)).cast("bigint")
+        of_couple = lambda make: F.coalesce(*(F.when(couple == k, make(*others(i, j))) for k, (i, j) in couples))
+        rest = of_couple(lambda p, q: F.shiftleft(block(p), 16) + block(q))
+        parts = [F.shiftleft(F.col("key"), 13) + F.lit(n << 11) + F.shiftrightunsigned(rest, at).bitwiseAND(F.lit((1 << width) - 1)) for n, (at, width) in enumerate(((0, 11), (11, 11), (22, 10)))]
+        finer = stored(many.select(F.col("key").alias("coarse"), "fp", F.explode(F.array(*parts)).alias("key")), "simhash-finer")
+        sized = _sized(finer, "key")
+        found.append(sized.where("members = 2").where(_near(max_bits)).select("a", "b"))
+        again = finer.join(sized.where("members > 2").select("key", "members"), "key")
+        found.append(_pairs(again.where(F.col("members") <= pair_limit).select("key", "fp"), ["key"], max_bits))
+        tight = again.where(F.col("members") > pair_limit).select(F.col("coarse").alias("key"), "fp").distinct()
+        bits = of_couple(lambda p, q: F.array(*(bit(x, y) for x in (p, q) for y in range(16))))
+        flips = F.transform(bits, lambda m: F.col("fp").bitwiseXOR(m))
+        mids = tight.select("key", "fp", F.explode(F.concat(F.array("fp"), flips)).alias("mid"))
+        met = mids.groupBy("mid").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)  # at most 65: one bit from mid
+        star = met.select(F.array_min("near").alias("a"), F.explode("near").alias("b"))
+        found.append(star.where((F.col("a") != F.col("b")) & _near(max_bits)))
+    out = stored(reduce(DataFrame.unionAll, found).distinct(), "simhash-links")
+    for t in (sizes, larger, crowd):
+        drop_scratch(t)
+    return out
 
 
 def roots(fps: DataFrame, max_bits: int) -> DataFrame:
@@ -145,7 +164,7 @@ def keep_one(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     gone = stored(gone.select(F.col("f").alias(f), F.col("r").alias(r)), "simhash-gone")
     for t in (rows, fps, stays):
         drop_scratch(t)
-    return whole.join(bounded(gone), [f, r], "left_anti").select(*quoted(docs.columns))
+    return marked_join(whole, gone, (f, r), "left_anti").select(*quoted(docs.columns))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
