@@ -7,6 +7,7 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from sluice.config import InvalidConfig, parse_yaml
+from sluice.operators.metrics import runtime
 from sluice.operators.rules import InvalidRules
 from sluice.sources.receivers import Receiver, address
 
@@ -54,6 +55,7 @@ def serve(pipeline, addr: str, token: str = "") -> Receiver:
             self.answer(200 if ok else 503, {"ready": ok, "problems": wrong})
 
         def on_metrics(self, _: str) -> None:
+            runtime(pipeline.metrics)
             self.answer(200, pipeline.metrics.exposition())
 
         def on_stats(self, _: str) -> None:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+import resource
 import threading
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+STARTED = time.time()
 # The default histogram bounds, in seconds.
 BOUNDS = (0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 5.0)
 
@@ -40,6 +44,17 @@ def _number(v: float) -> str:
     return str(int(v)) if float(v).is_integer() else repr(float(v))
 
 
+def runtime(registry: Registry) -> None:
+    """Gauges of the driver's process."""
+    usage = resource.getrusage(resource.RUSAGE_SELF)
+    registry.gauge("process_start_time_seconds", STARTED, "When the process began")
+    registry.gauge("process_cpu_seconds_total", usage.ru_utime + usage.ru_stime, "CPU time used")
+    registry.gauge("process_max_resident_bytes", usage.ru_maxrss * 1024, "Most memory held so far")
+    registry.gauge("process_threads", threading.active_count(), "Python threads")
+    for generation, s in enumerate(gc.get_stats()):
+        registry.gauge("process_gc_collections", s["collections"], "Garbage collections", generation=str(generation))
+
+
 class Registry:
     """Process-wide series for the control plane."""
 

@@ -215,6 +215,13 @@ def syslog(df: DataFrame, now: Column, options: Options | None = None) -> Parsed
 PARSERS: dict[str, Callable[..., Parsed]] = {"json": json, "ndjson": json, "csv": csv, "kv": kv, "regex": regex, "syslog": syslog, "raw": raw}
 
 
+def register(name: str, parser: Callable) -> None:
+    """Offer a further parser (payloads, now, options) -> Parsed; sources may name it from then on."""
+    if name in PARSERS:
+        raise ValueError(f"parser {name!r} is taken")
+    PARSERS[name] = parser
+
+
 def parse(df: DataFrame, name: str, now: Column, options: Options | None = None) -> Parsed:
     """Parse with a registered parser; a blank name means json."""
     if (name or "json") not in PARSERS:
