@@ -84,9 +84,9 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, length: int = LENGTH, s
     sample = rows.where(F.pmod(own, F.lit(1_000_000)) / 1e6 < share)
     spot = lambda k: F.substr("text", (F.pmod(F.xxhash64("text", F.lit(seed + k)), F.greatest(F.lit(1), F.length("text") - length)) + 1).cast("int"), F.lit(length))
     once = sample.select("lang", own.alias("own"), F.array(*(spot(k) for k in range(1, WINDOWS + 1))).alias("w")).groupBy("lang", "own").agg(F.first("w").alias("w"))  # a group of equal texts teaches once
-    got = once.orderBy("own", "lang").limit(2 * per_lang * len(labels)).toPandas()
+    got = once.orderBy("own", "lang").limit(2 * per_lang * len(labels)).toArrow()
     x, y = [], []
-    for lang, parts in zip(got["lang"], got["w"], strict=True):
+    for lang, parts in zip(got["lang"].to_pylist(), got["w"].to_pylist(), strict=True):
         for part in parts:
             if has_letter(part):
                 x.append(windows_of(part.lower().encode("utf-8", "replace")[:length], length)[0])

@@ -29,7 +29,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -126,7 +126,9 @@ def plan_of(spark: SparkSession, names: list[str], sizes: list[int], weights: li
         used_up = next(s for s in [p.order[(p.slots - 1) % len(p.order)]])
         first_row += p.slots * block_rows - (-sizes[used_up] % block_rows)
     kinds = "k string, spans array<struct<start:bigint,phase:int,w:bigint,period:bigint,slot:bigint,row:bigint>>"
-    places = spark.createDataFrame(pd.DataFrame(at_rows, columns=["k", "phase", "i", "at"]), "k string, phase int, i bigint, at bigint")
+    kind = pa.schema([("k", pa.string()), ("phase", pa.int32()), ("i", pa.int64()), ("at", pa.int64())])
+    columns = zip(*at_rows, strict=True) if at_rows else [()] * 4
+    places = spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types, strict=True)], schema=kind))
     return spark.createDataFrame([(names[s], x) for s, x in spans.items()], kinds), places, len(at_rows)
 
 
