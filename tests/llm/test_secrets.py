@@ -61,3 +61,23 @@ def test_equal_texts_teach_once(spark):
     many = docs.unionAll(docs.where("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
     a, b = (secrets.train(d.repartition(n), sample_docs=10_000) for d, n in ((docs, 1), (many, 5)))
     assert a.threshold == b.threshold and all((a.net.p[k] == b.net.p[k]).all() for k in a.net.p)
+
+
+def test_every_document_teaches(spark):
+    """A dozen texts with something to learn from, among very many that have nothing."""
+    told = [(i, f"password=abcdefgh{i:04d} and the_plain_candidate_number_{i} among ordinary words") for i in range(12)]
+    docs = spark.createDataFrame(told, "doc_id bigint, text string").unionAll(spark.range(100, 20_100).selectExpr("id", "concat('1 ', id)"))
+    assert secrets.windows(docs, 5).count() == 12 * (1 + 1 + secrets.PLANTED)
+    assert secrets.train(docs) is not None
+
+
+def test_training_in_blocks(spark):
+    """Many blocks give the same model for every partitioning; it keeps its recall and tells candidates from keys."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = (secrets.train(docs.repartition(n), block=150) for n in (1, 5))
+    assert a.threshold == b.threshold and all((a.net.p[k] == b.net.p[k]).all() for k in a.net.p)
+    rows = [(w, y) for r in docs.where("text IS NOT NULL").select("text").distinct().collect() for w, y in secrets.labelled(r["text"])]
+    y = np.array([r[1] for r in rows])
+    scores = a.scores([r[0] for r in rows])
+    assert len(rows) > 600 and (scores[y == 1] >= a.threshold).mean() >= 0.9
+    assert (scores[y == 1][:, None] > scores[y == 0][None]).mean() >= 0.95
