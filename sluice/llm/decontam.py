@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import by_bytes, table
 
-STEP, HASHED, RANK, SAMPLE_DOCS, ITEM_BLOCK, PARTS = 24, 4096, 256, 2000, 256, 8
+STEP, HASHED, RANK, SAMPLE_DOCS, ITEM_BLOCK, PARTS, KEPT = 24, 4096, 256, 2000, 256, 8, 50_000
 MIN_COSINE, MIN_LCS, MIN_PART, SHORT, ANSWER = 0.2, 0.7, 0.5, 8, 5
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -52,7 +52,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class TermIds(dict):
-    """Column of a word; words that are no item's word are hashed (and kept up to a bound)."""
+    """Column of a word; words that are no item's word are hashed (and ``KEPT`` of them remembered)."""
 
     def __init__(self, words: list[bytes], hashed: int = HASHED):
         super().__init__((w, i) for i, w in enumerate(words))
@@ -60,7 +60,7 @@ class TermIds(dict):
 
     def __missing__(self, w: bytes) -> int:
         i = self.own + zlib.crc32(w) % self.hashed
-        if len(self) < 1_000_000:
+        if len(self) < self.own + KEPT:
             self[w] = i
         return i
 
@@ -191,7 +191,7 @@ def frequencies(docs: DataFrame, ids: TermIds) -> tuple[np.ndarray, int]:
                 for at in range(0, len(words), STEP):
                     seen.update(set(words[at : at + STEP]))
                 total += steps_of(len(words))
-                if len(seen) > 200_000:
+                if len(seen) > KEPT:
                     fold()
         fold()
         held = np.flatnonzero(df)

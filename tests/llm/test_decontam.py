@@ -65,3 +65,10 @@ def test_paraphrases(spark):
     got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
     assert len(got & planted) >= 0.95 * len(planted), planted - got
     assert {g for g in got if g[0] in clean} <= already
+
+
+def test_remembered_words_are_bounded():
+    """However many words a worker meets, it holds few; the columns of those it doesn't hold are the same."""
+    ids, words = decontam.TermIds([b"one", b"two"]), [b"w%d" % i for i in range(3 * decontam.KEPT)]
+    first = [ids[w] for w in words]
+    assert len(ids) == 2 + decontam.KEPT <= 100_000 and [ids[w] for w in words] == first == [decontam.TermIds([b"one", b"two"])[w] for w in words]
