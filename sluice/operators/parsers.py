@@ -93,7 +93,7 @@ def csv(df: DataFrame, now: Column, options: Options | None = None) -> Parsed:
         raise ValueError("csv delimiter has to be one character")
     rest = [c for c in df.columns if c != "payload"]
 
-    def cells(text: str) -> tuple[list[list[tuple[str, str]]], str | None]:
+    def cells(text: str) -> tuple[list[dict[str, str]], str | None]:
         import csv as reader
         import io
 
@@ -102,19 +102,31 @@ def csv(df: DataFrame, now: Column, options: Options | None = None) -> Parsed:
         except reader.Error as e:
             return [], str(e)
         names = [c.strip() for c in rows.pop(0)] if o.header and rows else o.columns
-        return [[(n, v) for n, v in zip(names, r, strict=False) if n] for r in rows], None
+        return [{n: v for n, v in zip(names, r, strict=False) if n} for r in rows], None  # the last of equal names counts
 
-    @F.pandas_udf("struct<rows:array<array<struct<k:string,v:string>>>,error:string>")
+    @F.pandas_udf("struct<rows:array<map<string,string>>,error:string>")
     def read(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            got = [cells(t) for t in batch]
-            yield pd.DataFrame({"rows": [[[{"k": k, "v": v} for k, v in r] for r in rows] for rows, _ in got], "error": [e for _, e in got]})
+            for part in slices(batch):
+                got = [cells(t) for t in part]
+                yield pd.DataFrame({"rows": [rows for rows, _ in got], "error": pd.Series([e for _, e in got], dtype=object)})
 
     rows = _trimmed(df).where("_text <> ''").withColumn("_csv", read("_text"))
-    good = rows.select(*rest, F.explode("_csv.rows").alias("_row")).withColumn("record", _last_wins("_row"))
+    good = rows.select(*rest, F.explode("_csv.rows").alias("_row")).withColumn("record", F.transform_values("_row", lambda _, v: v.cast("variant")))
     return Parsed(events_of(good.drop("_row"), now), _errors(rows.where("_csv.error IS NOT NULL"), F.lit(0), F.col("_csv.error")))
 
 
+def slices(texts: pd.Series, rows: int = 256, size: int = 1 << 20) -> Iterator[pd.Series]:
+    """``texts`` in slices of ``rows`` and about ``size`` characters at most, unless one text has more: what is made of a slice is in memory together."""
+    at = held = 0
+    for i, t in enumerate(texts):
+        if i > at and (i - at >= rows or held + len(t) > size):
+            yield texts.iloc[at:i]
+            at, held = i, 0
+        held += len(t)
+    yield texts.iloc[at:]
+
+
 def _last_wins(pairs: str) -> Column:
     """Map of (k, v) structs in which the last of equal keys counts."""
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))

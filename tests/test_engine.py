@@ -247,3 +247,20 @@ rules:
     p.reload([{"name": "all", "actions": [{"route": "mem"}]}])
     assert p.replay()["accepted"] == 4
     assert p.stats()["rules"] == ["all"]
+
+
+def test_csv_is_read_in_slices(spark):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from sluice.operators import parsers
+
+    texts = pd.Series(["x" * n for n in [10] * 700 + [3 << 20, 0, 5]])
+    cut = list(parsers.slices(texts))
+    assert pd.concat(cut).tolist() == texts.tolist() and max(map(len, cut)) == 256
+    assert all(len(c) == 1 or c.str.len().sum() <= 1 << 20 for c in cut)
+    payloads = [("s", f"id,k,,k\n{n},a,b,c{n}\n{n + 1000},d") for n in range(600)] + [("s", 'id\n"open')]
+    got = parsers.parse(spark.createDataFrame(payloads, "source_id string, payload string").coalesce(1), "csv", F.lit("2024-06-01").cast("timestamp"))
+    rows = {(r["id"], r["k"]) for r in got.events.select("id", F.try_variant_get(F.col("attrs")["k"], "$", "string").alias("k")).collect()}
+    assert rows == {(str(n), f"c{n}") for n in range(600)} | {(str(n + 1000), "d") for n in range(600)}
+    assert got.errors.count() == 1
