@@ -154,7 +154,8 @@ def apply(df: DataFrame, rules: RuleSet, when: Column | None = None, counter: st
     df = df.withColumns({"_go": when, "_n": F.lit(0)})
     go = F.col("_go")
     if rules.patterns:
-        done = F.when(go, F.expr(f"transform_values(attrs, (key, v) -> {variant_sql('v', rules.patterns, DEPTH)})"))
+        # spark_partition_id makes the column one that no filter behind it is pushed through: that would copy the whole expression into the filter
+        done = F.when(go & (F.spark_partition_id() >= 0), F.expr(f"transform_values(attrs, (key, v) -> {variant_sql('v', rules.patterns, DEPTH)})"))
         df = df.withColumn("_attrs", done)
         counted = F.aggregate(F.map_values("_attrs"), F.lit(0), lambda n, p: n + p["n"])
         new, hits = {"attrs": F.when(go, F.transform_values("_attrs", lambda _, p: p["v"])).otherwise(F.col("attrs"))}, [F.coalesce(counted, F.lit(0))]

@@ -27,8 +27,8 @@ def message() -> F.Column:
 
 
 def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in canonical form."""
-    return canonical(raw(spark, sf_dir))
+    """Events in canonical form. They are dealt to all cores first: a file of many millions of rows may be no more than one split."""
+    return canonical(raw(spark, sf_dir).repartition("event_id"))
 
 
 def canonical(rows: DataFrame) -> DataFrame:

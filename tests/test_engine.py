@@ -264,3 +264,26 @@ def test_csv_is_read_in_slices(spark):
     rows = {(r["id"], r["k"]) for r in got.events.select("id", F.try_variant_get(F.col("attrs")["k"], "$", "string").alias("k")).collect()}
     assert rows == {(str(n), f"c{n}") for n in range(600)} | {(str(n + 1000), "d") for n in range(600)}
     assert got.errors.count() == 1
+
+
+def test_events_of_one_split_are_dealt_to_all_cores(spark):
+    from pyspark.sql import functions as F
+
+    from sluice.plans.views import ev
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which joins small partitions again
+    try:
+        rows = ev(spark, "/root/testdata/sf0.001").select("id", F.spark_partition_id().alias("p"))
+        assert rows.select("p").distinct().count() > 1 and rows.count() == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_filters_do_not_copy_the_redaction(spark):
+    from sluice.operators import rules
+    from sluice.plans import catalogue
+    from sluice.plans.views import ev
+
+    done = rules.Engine.of(catalogue.FLAGSHIP).evaluate(ev(spark, "/root/testdata/sf0.001"))
+    plan = done.where("alive AND array_contains(tags, 'large')").select("id")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "AKIA[" in line]
